@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat, decontamination, embeddings, minhash, packing, sharding
-from .common import table
+from . import archives, chat, decontamination, embeddings, minhash, packing, quality, sharding, toxicity
+from .common import fold_bucket, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,22 @@ def op5_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.with_scores(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_bucket(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.pages_through_warc(table(spark, sf_dir, "pages"))
 
 
+def op9_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.with_scores(docs.select("doc_id", "text"), toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_bucket(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_min_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -49,7 +61,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_snapshot_collapse,
         op4_hilbert_sharding,
         op5_containment_decontamination,
+        op7_quality_classifier,
         op8_arc_to_warc,
+        op9_lexicon_toxicity,
         op10_min_bin_slack_packing,
     )
 }
