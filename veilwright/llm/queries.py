@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import archives, chat, decontamination, embeddings, minhash, packing, quality, sharding, toxicity
+from . import archives, chat, decontamination, embeddings, katz, minhash, packing, quality, sharding, toxicity
 from .common import fold_bucket, table
 
 
@@ -32,6 +32,10 @@ def op5_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.katz_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.with_scores(docs.select("doc_id", "text"), quality.train(docs, table(spark, sf_dir, "labels")))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_snapshot_collapse,
         op4_hilbert_sharding,
         op5_containment_decontamination,
+        op6_katz_backoff,
         op7_quality_classifier,
         op8_arc_to_warc,
         op9_lexicon_toxicity,
