@@ -3,7 +3,8 @@
 ARC: a first record names the file and the version, whose field list says how each later header line reads; the
 declared length says where a record ends. WARC: identifiers, ISO timestamps, types and digests are made from what
 the ARC record holds. Archives are rows of whole files; Spark's text writer puts one in each file (its bytes pass
-unchanged), so any store that Spark writes to will do. Members are compressed one by one.
+unchanged), so any store that Spark writes to will do. Archives are written as one Zstandard frame each; gzip members
+and plain files are read as well.
 """
 
 from __future__ import annotations
@@ -44,13 +45,23 @@ class ArcRecord:
     content: bytes
 
 
-def member(data: bytes) -> bytes:
-    packer = zlib.compressobj(3, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+def compressed(data: bytes, level: int = 3) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def plain(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
 
 
 def members(data: bytes) -> Iterator[bytes]:
     """The plain bytes of each compressed member; data without compression is one member."""
+    if data[:4] == b"\x28\xb5\x2f\xfd":
+        yield plain(data)
+        return
     if data[:2] != b"\x1f\x8b":
         yield data
         return
@@ -183,18 +194,18 @@ def pages_to_arc(pages: DataFrame, version_of=lambda n: 1 + n % 2, date: str = "
         n, parts, size = 0, [], 0
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
+            return pa.RecordBatch.from_arrays([pa.array([compressed(b"".join(parts))], pa.binary())], names=["content"])
 
         for batch in batches:
             for page, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
                 payload, page = html.as_py() or b"", page.as_py()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{HTTP_ID}: {'' if page is None else page}\r\n\r\n"
-                name, version = f"part-{n}.arc.gz", version_of(n)
+                name, version = f"part-{n}.arc", version_of(n)
                 if not parts:
-                    parts.append(member(arc_head(name, date, version)))
-                plain = arc_record(url.as_py() or "", "0.0.0.0", date, "text/html", head.encode() + payload, version, name, sum(map(len, parts)) if version == 2 else 0)
-                parts.append(member(plain))
-                size += len(plain)
+                    parts.append(arc_head(name, date, version))
+                    size = len(parts[0])
+                parts.append(arc_record(url.as_py() or "", "0.0.0.0", date, "text/html", head.encode() + payload, version, name, size))
+                size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
                     yield done()
                     n, parts, size = n + 1, [], 0
@@ -208,7 +219,7 @@ _CONVERTED = "page_id long, url string, ip string, date string, content_type str
 
 
 def arc_records(archives: DataFrame) -> DataFrame:
-    """One row per ARC record, with what its WARC record will be made from."""
+    """One row per ARC record, with what its WARC record will be made from; http is compressed, as it is shuffled."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), *((x, pa.string()) for x in ("url", "ip", "date", "content_type")), ("http", pa.binary()), ("record_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
@@ -219,7 +230,7 @@ def arc_records(archives: DataFrame) -> DataFrame:
                 for r in read_arc(archive.as_py()):
                     head, payload = payload_of(r.content)
                     page = re.search(rf"(?mi)^{HTTP_ID}: (-?\d+)\r?$", head.decode("utf-8", "replace"))
-                    rows.append((int(page[1]) if page else None, r.url, r.ip, r.date, r.content_type, r.content, record_id(r), len(payload), digest(payload)))
+                    rows.append((int(page[1]) if page else None, r.url, r.ip, r.date, r.content_type, compressed(r.content, 1), record_id(r), len(payload), digest(payload)))
                     size += len(r.content)
                     if size >= ARCHIVE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -237,14 +248,13 @@ def warc_archives(records: DataFrame, first_of: DataFrame) -> DataFrame:
         parts, size = [], 0
         for batch in batches:
             for url, ip, date, kind, http, refers, refers_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                plain = warc_record(ArcRecord(url, ip, date, kind, http), (refers, refers_url) if refers else None)
-                parts.append(member(plain))
-                size += len(plain)
+                parts.append(warc_record(ArcRecord(url, ip, date, kind, plain(http)), (refers, refers_url) if refers else None))
+                size += len(parts[-1])
                 if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
+                    yield pa.RecordBatch.from_arrays([pa.array([compressed(b"".join(parts))], pa.binary())], names=["content"])
                     parts, size = [], 0
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
+            yield pa.RecordBatch.from_arrays([pa.array([compressed(b"".join(parts))], pa.binary())], names=["content"])
 
     joined = records.join(first_of, "record_id", "left")
     return joined.select("url", "ip", "date", "content_type", "http", "refers_id", "refers_url").mapInArrow(build, "content binary")
@@ -286,7 +296,8 @@ def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
 def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> None:
     """ARC archives (content binary) to WARC files in the folder path."""
     records = arc_records(archives)
-    write_archives(warc_archives(records, revisits(records, least_bytes)), path)
+    narrow = cut(records.select("record_id", "url", "page_id", "payload_bytes", "payload_digest"), "arc-index")
+    write_archives(warc_archives(records, revisits(narrow, least_bytes)), path)
 
 
 def pages_through_warc(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
