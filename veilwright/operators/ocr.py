@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry
 from . import detect
 from .policy import Policy, apply_policy
-from .redact import run_detection
+from .redact import run_detection, settled
 
 LINES = "page_id long, line_index int, text string, score float, bbox struct<x0:int,y0:int,x1:int,y1:int>, polygon array<array<int>>"
 #: Limits of a page and of its lines.
@@ -91,7 +91,8 @@ def image_findings(findings: DataFrame, placed: DataFrame, pages: DataFrame, pol
 def scan_pages(lines: DataFrame, pages: DataFrame, policy: Policy) -> DataFrame:
     """From lines to masks."""
     texts = page_texts(lines)
-    found = texts.withColumn("findings", apply_policy(run_detection(F.col("text"), policy), policy))
+    found = settled(texts, "findings", run_detection(F.col("text"), policy))
+    found = settled(found, "findings", apply_policy(F.col("findings"), policy))
     return image_findings(detect.exploded(found, keys=("page_id",)), layout(lines), pages, policy)
 
 
@@ -109,7 +110,7 @@ def page_residuals(findings: DataFrame, after: DataFrame, policy: Policy) -> Dat
     kept = findings.where("reviewed AND NOT selected").select("page_id", "entity_type", "matched_text").distinct()
     targets = chosen.join(texts, "page_id").where(F.contains("text", F.col("matched_text")))
     targets = targets.select("page_id", "entity_type", (F.expr("instr(text, matched_text)") - 1).alias("offset"), F.lit("target_value_check").alias("detector"), F.lit("SELECTED_VALUE_REMAINS").alias("explanation_code"), F.lit(0).alias("source"))
-    again = detect.exploded(texts.withColumn("findings", run_detection(F.col("text"), policy)), keys=("page_id",))
+    again = detect.exploded(settled(texts, "findings", run_detection(F.col("text"), policy)), keys=("page_id",))
     fresh = again.join(kept, ["page_id", "entity_type", "matched_text"], "left_anti")
     fresh = fresh.select("page_id", "entity_type", F.col("start").alias("offset"), "detector", "explanation_code", F.lit(1).alias("source"))
     every = targets.unionByName(fresh)

@@ -13,6 +13,11 @@ from .rules import RULES_DETECTOR, TERMS_DETECTOR
 RESIDUAL = "struct<start:int,end:int,entity_type:string,detector:string,explanation_code:string>"
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as column name, found once: the generator keeps the optimizer from copying value into its uses."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def run_detection(text: Column, policy: Policy, models: list[tuple[str, Column]] = (), kind: Column | None = None) -> Column:
     """Rules, exact terms, filter, models by priority, filter again, in order. models: (detector id, findings) that answered."""
     ranges = F.when(kind == "markdown", fences(text)).otherwise(F.array().cast("array<struct<open:int,close:int>>")) if kind is not None else None
@@ -40,7 +45,7 @@ def scan(parts: DataFrame, policy: Policy, kind: str | None = None) -> DataFrame
     """parts (doc_id, text) with findings as the policy decides on them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = run_detection(text, policy, kind=F.col(kind) if kind else None)
-    return parts.withColumn("findings", apply_policy(found, policy))
+    return settled(settled(parts, "findings", found), "findings", apply_policy(F.col("findings"), policy))
 
 
 def _chosen(findings: Column) -> Column:
@@ -73,7 +78,8 @@ def redacted(text: Column, findings: Column) -> Column:
 def redact(parts: DataFrame) -> DataFrame:
     """parts (text, findings) with error_code and redacted (null where there is an error)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return parts.withColumn("error_code", span_error(text, F.col("findings"))).withColumn("redacted", F.when(F.col("error_code").isNull(), redacted(text, F.col("findings"))))
+    checked = settled(parts, "error_code", span_error(text, F.col("findings")))
+    return settled(checked, "redacted", F.when(F.col("error_code").isNull(), redacted(text, F.col("findings"))))
 
 
 def occurrences(text: Column, value: Column) -> Column:
@@ -111,8 +117,8 @@ def residuals(output: Column, findings: Column, again: Column) -> Column:
 def verify(parts: DataFrame, policy: Policy, output: str = "redacted", kind: str | None = None) -> DataFrame:
     """parts (findings, output) with residuals and the report: no column of it holds a matched value."""
     text = F.coalesce(F.col(output), F.lit(""))
-    again = parts.withColumn("again", run_detection(text, policy, kind=F.col(kind) if kind else None))
-    left = again.withColumn("residuals", residuals(text, F.col("findings"), F.col("again"))).drop("again")
+    again = settled(parts, "again", run_detection(text, policy, kind=F.col(kind) if kind else None))
+    left = settled(again, "residuals", residuals(text, F.col("findings"), F.col("again"))).drop("again")
     count = lambda keep: F.size(F.filter("findings", keep))
     report = {
         "selected_findings": count(lambda f: f["selected"]),

@@ -93,7 +93,9 @@ def grouped(gold: DataFrame, predictions: DataFrame) -> DataFrame:
     counts = exact_counts(gold, predictions)
     labels = counts.select(F.lit("label").alias("dimension"), F.col("label").alias("value"), *COUNTS)
     records = counts.groupBy("id").agg(*[F.sum(c).alias(c) for c in COUNTS])
-    about = gold.select("id", F.explode(F.concat(F.array(F.struct(F.lit("micro").alias("dimension"), F.lit("all").alias("value")), F.struct(F.lit("difficulty"), F.col("difficulty"))), F.transform("tags", lambda t: F.struct(F.lit("tag"), t)))).alias("d"))
+    group = lambda dimension, value: F.struct(F.lit(dimension).alias("dimension"), value.alias("value"))
+    groups = F.concat(F.array(group("micro", F.lit("all")), group("difficulty", F.col("difficulty"))), F.transform("tags", lambda t: group("tag", t)))
+    about = gold.select("id", F.explode(groups).alias("d"))
     others = about.join(records, "id", "left").select("d.dimension", "d.value", *[F.coalesce(c, F.lit(0)).alias(c) for c in COUNTS])
     return measures(labels.unionByName(others).groupBy("dimension", "value").agg(*[F.sum(c).alias(c) for c in COUNTS]))
 

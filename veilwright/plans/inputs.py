@@ -5,8 +5,6 @@ Table names stand in braces: Spark gets Parquet paths for them, DuckDB its views
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.kernel import spans_sql
@@ -57,16 +55,24 @@ PARTS = f"SELECT doc_id, text FROM {{documents}} UNION ALL ({ZH})"
 #: Markdown: a fence around the second of three lines; every third one is not closed.
 MARKDOWN = f"""SELECT doc_id, concat('手机13900000001', chr(10), '```', chr(10), text, chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('  ```', chr(10)) END, '合同编号：AB-', cast(doc_id AS string), chr(10)) AS text FROM ({ZH}) z"""
 #: Spans: what two detectors say of the same text, from order lines.
-SPANS = "SELECT l_orderkey AS doc_id, l_linenumber AS n, cast(l_partkey % 200 AS int) AS start, cast(l_partkey % 200 + 1 + l_quantity AS int) AS stop, CASE l_suppkey % 3 WHEN 0 THEN 'ORG_NAME' WHEN 1 THEN 'PERSON_NAME' ELSE 'CUSTOMER_NAME' END AS label, cast(l_discount * 10 AS float) AS confidence, l_returnflag AS side FROM {lineitem}"
+SPANS = "SELECT l_orderkey AS doc_id, l_linenumber AS n, cast(l_partkey % 200 AS int) AS start, cast(l_partkey % 200 + 1 + l_suppkey % 40 AS int) AS stop, CASE l_suppkey % 3 WHEN 0 THEN 'ORG_NAME' WHEN 1 THEN 'PERSON_NAME' ELSE 'CUSTOMER_NAME' END AS label, cast(l_partkey % 11 / 10.0 AS float) AS confidence, l_returnflag AS side FROM {lineitem}"
+
+
+#: Order lines, one for each order and number, with a text and a mode made from their keys.
+LINES_OF = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+    CASE WHEN l_partkey % 6 = 0 THEN 'run' ELSE concat('run-', cast(l_partkey AS string), '-', cast(l_suppkey AS string), '-abcdefghij') END AS l_comment, concat('M', cast(l_suppkey % 3 AS string)) AS l_shipmode
+    FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, max(l_discount) AS l_discount, max(l_tax) AS l_tax, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus
+        FROM {0} GROUP BY l_orderkey, l_linenumber) one)"""
 
 
 def spark_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.format(**{t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}) if "{" in sql else sql)
+    names = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
+    return spark.sql(sql.format(**names | {"lineitem": LINES_OF.format(names["lineitem"])}))
 
 
 def duck(sql: str) -> str:
     """The same SQL for DuckDB."""
-    return re.sub(r"\bchr\(", "chr(", sql.format(**{t: t for t in TABLES}))
+    return sql.format(**{t: t for t in TABLES} | {"lineitem": LINES_OF.format("lineitem")})
 
 
 def window_sql(start: str, end: str, left: int, right: int, text: str = "text") -> str:
@@ -132,9 +138,3 @@ def placeholder_sql(entity: str) -> str:
 
 def order_sql(entity: str) -> str:
     return f"CASE {entity} " + " ".join(f"WHEN '{k}' THEN {i}" for k, i in rules.ENTITY_ORDER.items()) + " END"
-
-
-def greedy_sql(source: str, order: str, keys: str = "doc_id") -> str:
-    """Rows of source (s, e and others) that greedy choice in order keeps: each that overlaps none kept before."""
-    return f"""SELECT {keys}, unnest(list_reduce([x for x in list(row ORDER BY {order})], lambda a, b: CASE WHEN len(list_filter(a, lambda y: y.s < b[1].e AND b[1].s < y.e)) > 0 THEN a ELSE list_concat(a, b) END)) AS f
-        FROM (SELECT *, [x] AS row FROM ({source})) GROUP BY {keys}"""

@@ -100,7 +100,7 @@ def pdf_probe(files: DataFrame) -> DataFrame:
 def parse_pdfinfo(output: Column) -> Column:
     """'key: value' lines as a map; the first of equal keys counts."""
     lines = F.filter(F.split(output, "\n"), lambda x: F.contains(x, F.lit(":")))
-    entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, r"\A[^:]*:", "")).alias("value"))
+    entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(x, r"\A[^:]*:\s*|\s+\z", "").alias("value"))
     entries = F.transform(lines, entry)
     first = F.aggregate(entries, F.array().cast("array<struct<key:string,value:string>>"), lambda kept, e: F.when(F.exists(kept, lambda o: o["key"] == e["key"]), kept).otherwise(F.array_append(kept, e)))
     return F.map_from_entries(first)
