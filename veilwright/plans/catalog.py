@@ -1219,3 +1219,96 @@ def verified_redaction(spark, sf_dir):
     from ..operators import sinks
 
     return sinks.reports(redact.redact_and_verify(parts(spark, sf_dir), Policy())).drop("residuals")
+
+
+# Pages and packages made from the driver's tables
+
+
+@query(_with("SELECT page_id, 'INVALID_OCR_LINE' AS code FROM p WHERE page_id % 6 = 0 OR page_id % 10 = 3 OR x1 > 600", LINES))
+def s07_ocr_line_errors(spark, sf_dir):
+    """Pages of which one line is empty, or has an impossible score or box."""
+    lines = _lines(spark, sf_dir).withColumn("text", F.when(F.col("page_id") % 6 == 0, "").otherwise(F.col("text")))
+    lines = lines.withColumn("score", F.when(F.col("page_id") % 10 == 3, 1.5).otherwise(F.col("score")).cast("float"))
+    pages = lines.select("page_id", F.lit(600).alias("width"), F.lit(700).alias("height"))
+    return ocr.line_errors(pages, lines)
+
+
+@query()
+def p11_mask_projection(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    pages = lines.select("page_id", F.lit(600).alias("width"), F.lit(700).alias("height"))
+    return ocr.mask_projection(ocr.scan_pages(lines, pages, Policy())).select("page_id", "group_id", "finding_id", "entity_type", "mask_rect.*", "selected", "reviewed")
+
+
+def made_packages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """One small package for each synthetic text: its first signs in one run, the others in another."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pyarrow as pa
+
+    from ..sources.packages import REQUIRED, ROOTS
+
+    def entries(text: str) -> dict[str, str]:
+        a, b = escape(text[:8]), escape(text[8:])
+        if kind == "docx":
+            return {REQUIRED[kind]: f"<w:document><w:p><w:r><w:t>{a}</w:t></w:r><w:r><w:t>{b}</w:t></w:r></w:p></w:document>"}
+        if kind == "pptx":
+            return {REQUIRED[kind]: "<p:presentation/>", "ppt/slides/slide1.xml": f"<p:sld><a:p><a:r><a:t>{a}</a:t></a:r><a:r><a:t>{b}</a:t></a:r></a:p></p:sld>"}
+        shared = f"<sst><si><r><t>{a}</t></r><r><t>{b}</t></r></si></sst>"
+        return {REQUIRED[kind]: '<workbook><sheets><sheet name="S"/></sheets></workbook>', "xl/sharedStrings.xml": shared, "xl/worksheets/sheet1.xml": '<worksheet><sheetData><row><c r="A1" t="s"><v>0</v></c></row></sheetData></worksheet>'}
+
+    def build(batches):
+        for batch in batches:
+            made = []
+            for text in batch.column(1):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("[Content_Types].xml", "<Types/>")
+                    z.writestr("_rels/.rels", "<Relationships/>")
+                    for name, data in entries(text.as_py()).items():
+                        z.writestr(name, data)
+                    z.writestr(f"{ROOTS[kind]}/media/image1.png", b"png")
+                made.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * batch.num_rows), pa.array(made, pa.binary())], names=["doc_id", "format", "content"])
+
+    return parts(spark, sf_dir, ZH).mapInArrow(build, "doc_id long, format string, content binary")
+
+
+def _package_parts(key: str, kind: str, oracle: str) -> None:
+    def run(spark, sf_dir):
+        from ..sources import packages
+
+        return packages.package_parts(made_packages(spark, sf_dir, kind)).where("kind <> 'sheet_name'").select("doc_id", "kind", "locator", "text")
+
+    run.__name__ = key
+    query(_with(oracle, ZH))(run)
+
+
+# texts with carriage returns lose them in XML, which reads them as line breaks
+_XML_TEXT = "replace(text, chr(13) || chr(10), chr(10)) AS text"
+_package_parts("s08_docx_parts", "docx", f"SELECT doc_id, 'body' AS kind, 'word/document.xml#p000001' AS locator, {_XML_TEXT} FROM p")
+_package_parts("s09_xlsx_parts", "xlsx", f"SELECT doc_id, 'cell' AS kind, 'xl/worksheets/sheet1.xml#cell=A1' AS locator, {_XML_TEXT} FROM p")
+_package_parts("s10_pptx_parts", "pptx", f"SELECT doc_id, 'slide' AS kind, 'ppt/slides/slide1.xml#p000001' AS locator, {_XML_TEXT} FROM p")
+
+
+@query(_with("SELECT doc_id, 'word/media/image1.png' AS entry_name, 'docx://' || doc_id || '#word/media/image1.png' AS path, 3::BIGINT AS size_bytes FROM p", ZH))
+def s12_embedded_images(spark, sf_dir):
+    from ..sources import packages
+
+    found = packages.embedded_images(made_packages(spark, sf_dir, "docx"))
+    return found.select("doc_id", "entry_name", "path", F.length("content").cast("long").alias("size_bytes"))
+
+
+@query()
+def k04_redacted_packages(spark, sf_dir):
+    """Packages scanned, rewritten and read again: how many findings each had and has."""
+    from ..sources import packages
+
+    made = made_packages(spark, sf_dir, "docx")
+    found = detect.exploded(redact.scan(packages.package_parts(made), Policy()), keys=("doc_id", "locator"))
+    out = packages.redact_packages(made, found.where("selected"))
+    again = packages.package_parts(out.where("error_code IS NULL").select("doc_id", "format", F.col("redacted").alias("content")))
+    left = redact.scan(again, Policy()).groupBy("doc_id").agg(F.sum(F.size("findings")).alias("left"))
+    return out.select("doc_id", "error_code", "metadata_scrubbed").join(left, "doc_id", "left")
