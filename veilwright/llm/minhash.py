@@ -1,15 +1,15 @@
 """MinHash near-dedup with bottom-k sketches from one hash function.
 
 A document's sketch is the k least hash values of its word shingles. Documents with equal shingle sets are one
-representative. Inverted lists of retained values give the overlaps: values are ordered from rare to common and a
-representative is listed under its rarest ones only, as many as two sketches that overlap enough can't both avoid
-(prefix filtering). The sketch of the union estimates the similarity of a candidate pair, and the full shingle
-sets decide.
-
-Lists may be long. Each list is first tied together through two of its members (the one with the commonest values,
-which is where copies come from, and a random one), so a group of n copies costs n checks. What then still joins
-several components is compared fully where lists are short; long lists are split by a further shared value of a
-longer prefix, level by level, and compared fully at the last level. No list is cut or dropped.
+representative. A short sketch of every representative tells which of its values others retain as well; who shares
+too few can't be similar to anyone. The others get a longer sketch. Its values, ordered from rare to common, give
+inverted lists: a representative is listed under its rarest shared values only, as many as two sketches that
+overlap enough can't both avoid (prefix filtering). The sketch of the union estimates the similarity of a candidate
+pair, and the full shingle sets decide.
+
+Lists may be long. Each is first tied together through two of its members (the one with the commonest values, which
+is where copies come from, and another), so a group of n copies costs n checks. What a list holds outside the
+component of its first member is then compared with all of the list. No list is cut or dropped.
 """
 
 from __future__ import annotations
@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_table, words_of
+from .common import components, cut, words_of
 
-SKETCH = 32
-#: Lists of up to so many members are compared fully.
-SHORT_LIST = 32
-LEVELS = 4
+#: Values of the short and of the long sketch.
+SKETCH, LONG_SKETCH = 64, 512
 _CACHED_WORDS = 300_000
 
 
@@ -99,76 +97,99 @@ def _estimate(a: Column, b: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, a), b)) / F.size(union)
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough."""
+def _similar(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """Of pairs (a, b), those whose full sets have a similarity of percent or more, with shared and whole (sizes of
+    intersection and union). Sketches that surely say less are passed over."""
+    p = percent / 100
+    least = p - 5.2 * (p * (1 - p) / k) ** 0.5
     of = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"s_{x}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b").where(_estimate(F.col("s_a"), F.col("s_b"), k) >= 0.5).select("a", "b")
+    near = pairs.join(of("a"), "a").join(of("b"), "b").where(_estimate(F.col("s_a"), F.col("s_b"), k) >= least).select("a", "b")
     near = near.join(sets.select(F.col("id").alias("a"), F.col("full").alias("full_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("full").alias("full_b")), "b")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
+            shared, whole = [], []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                shared.append(len(np.intersect1d(x, y, assume_unique=True)))
+                whole.append(len(x) + len(y) - shared[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(whole, pa.int64())], names=["a", "b", "shared", "whole"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return near.select("a", "b", "full_a", "full_b").mapInArrow(exact, f"a {kind}, b {kind}")
+    found = near.select("a", "b", "full_a", "full_b").mapInArrow(exact, f"a {kind}, b {kind}, shared long, whole long")
+    return found.where(100 * F.col("shared") >= percent * F.col("whole"))
 
 
-def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int = SKETCH, key: str = "doc_id") -> DataFrame:
-    """Links (a, b) between representatives (id, n, sketch) that give the components of all similar pairs."""
-    least = F.ceil(F.least("n", F.lit(k)) / 2).cast("int")
-    entries = reps.select("id", F.explode("sketch").alias("v"))
+def least_overlap(n: Column, percent: int, k: int) -> Column:
+    """Values that the sketches of two sets of this size share at least if the sets are similar enough.
+
+    Sets that surely fit into their sketches share percent of their values. Beyond, the share of the union's sketch
+    is a draw without replacement: five standard deviations below its mean.
+    """
+    p = percent / 100
+    m = F.least(n, F.lit(k))
+    drawn = F.floor(m * p - 5.2 * F.sqrt(m * p * (1 - p)))
+    return F.greatest(F.when(n <= int(k * p), F.ceil(n * p)).otherwise(drawn), F.lit(1)).cast("int")
+
+
+def sharing(entries: DataFrame, sizes: DataFrame, percent: int, k: int) -> DataFrame:
+    """entries (id, v) of sketches of k values: id, values that others have too from rare to common, spare (how many of
+    them may be missed), common; only ids with enough of them."""
     shared = entries.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     listed = entries.join(shared, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("x"))  # k values at most
-    listed = listed.join(reps.select("id", "n"), "id").withColumn("c", least).where(F.size("x") >= F.col("c"))
-    listed = cut(listed.select("id", "n", F.col("x.v").alias("values"), (F.size("x") - F.col("c")).alias("spare"), F.aggregate("x.f", F.lit(0.0), lambda s, f: s + F.log(f.cast("double"))).alias("common")), "listed")
-    spark = docs.sparkSession
-    kind = reps.schema["id"].dataType.simpleString()
-    links = spark.createDataFrame([], f"a {kind}, b {kind}")
-    keys = listed.select("id", F.explode(F.slice("values", F.lit(1), F.col("spare") + 1)).alias("v")).select(F.array("v").alias("list"), "id")
-    member = F.struct("common", F.negative("id").alias("order"), "id", "n")
+    listed = listed.join(sizes.select("id", "n"), "id").withColumn("c", least_overlap(F.col("n"), percent, k)).where(F.size("x") >= F.col("c"))
+    common = F.aggregate("x.f", F.lit(0.0), lambda s, f: s + F.log(f.cast("double")))
+    return listed.select("id", "n", F.col("x.v").alias("values"), (F.size("x") - F.col("c")).alias("spare"), common.alias("common"))
+
+
+def long_entries(sets: DataFrame, k: int) -> DataFrame:
+    """(id, v): the k least values of each full set."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x.as_py(), np.int64)[:k] for x in batch.column(1)]
+            at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(values) if values else np.empty(0, np.int64))], names=["id", "v"])
+
+    return sets.select("id", "full").mapInArrow(least, f"id {kind}, v long")
+
+
+def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int = SKETCH, key: str = "doc_id") -> DataFrame:
+    """Links (a, b) between representatives (id, n, sketch) that give the components of all similar pairs."""
+    likely = cut(sharing(reps.select("id", F.explode("sketch").alias("v")), reps, percent, k).select("id"), "likely")
+    sets = cut(full_sets(docs.join(likely.select(F.col("id").alias(key)), key, "left_semi"), width, key).dropDuplicates(["id"]), "sets")
+    listed = cut(sharing(long_entries(sets, LONG_SKETCH), reps, percent, LONG_SKETCH), "listed")
+    lists = listed.select("id", "n", "common", F.explode(F.slice("values", F.lit(1), F.col("spare") + 1)).alias("v"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
-    sets, found = None, []
-    for level in range(1, LEVELS + 1):
-        sizes = keys.groupBy("list").agg(F.count("*").alias("members")).where("members > 1")
-        keys = cut(keys.join(sizes, "list").join(listed.drop("values", "spare"), "id"), f"lists-{level}")
-        if keys.isEmpty():
-            break
-        if sets is None:
-            wanted = docs.join(keys.select(F.col("id").alias(key)).distinct(), key, "left_semi")
-            sets = cut(full_sets(wanted, width, key).dropDuplicates(["id"]), "sets")
-        # through two members of each list
-        heads = keys.groupBy("list").agg(F.max(member).alias("p"), F.min_by(F.struct("id", "n"), F.xxhash64("id", "list")).alias("q"))
-        ties = keys.select("list", F.col("id").alias("y"), F.col("n").alias("ny")).join(heads, "list")
-        ties = ties.select("y", "ny", F.explode(F.array(F.struct("p.id", "p.n"), "q")).alias("h")).select("y", "ny", F.col("h.id").alias("x"), F.col("h.n").alias("nx"))
-        pairs = cut(ties.where("x <> y").where(fits(F.col("nx"), F.col("ny"))).select(*ordered).distinct(), "pairs")
-        found.append(cut(_verified(pairs, reps, sets, percent, k), "links"))
-        drop_table(pairs)
-        links = links.unionByName(found[-1])
-        # what several components still share
-        of = components(links, keys.select("id").distinct())
-        apart = keys.join(of, "id")
-        mixed_lists = apart.groupBy("list").agg((F.min("component_id") < F.max("component_id")).alias("mixed")).where("mixed").select("list")
-        apart = cut(apart.join(mixed_lists, "list").select("list", "id", "n", "members", "component_id"), "apart")
-        if apart.isEmpty():
-            break
-        short = apart if level == LEVELS else apart.where(F.col("members") <= SHORT_LIST)
-        left, right = (short.select("list", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component_id").alias(f"c{x}")) for x in "xy")
-        pairs = cut(left.join(right, "list").where("x < y and cx <> cy").where(fits(F.col("nx"), F.col("ny"))).select(*ordered).distinct(), "pairs")
-        found.append(cut(_verified(pairs, reps, sets, percent, k), "links"))
-        links = links.unionByName(found[-1])
-        if level == LEVELS:
-            break
-        # two sketches that overlap enough share one more value within a prefix longer by one
-        long = apart.where(F.col("members") > SHORT_LIST).select("list", "id").join(listed.select("id", "values", "spare"), "id")
-        more = F.explode(F.array_except(F.slice("values", F.lit(1), F.col("spare") + level + 1), F.col("list")))
-        keys = long.select("id", "list", more.alias("v")).select(F.array_sort(F.concat("list", F.array("v"))).alias("list"), "id").distinct()
-    return links
+    # through two members of each list
+    first = F.struct("common", F.negative("id").alias("order"), "id", "n")
+    heads = lists.groupBy("v").agg(F.max(first).alias("p"), F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("q"), F.count("*").alias("members")).where("members > 1")
+    heads = cut(heads.select("v", F.struct("p.id", "p.n").alias("p"), "q"), "heads")
+    ties = lists.select("v", F.col("id").alias("y"), F.col("n").alias("ny")).join(heads, "v").select("y", "ny", F.explode(F.array("p", "q")).alias("h"))
+    pairs = ties.select("y", "ny", F.col("h.id").alias("x"), F.col("h.n").alias("nx")).where("x <> y").where(fits(F.col("nx"), F.col("ny")))
+    # 1 - similarity is a metric: who is further than twice the allowed distance from the first member links with none
+    # of those that link with it
+    twice = max(2 * percent - 100, 1)
+    near = cut(_similar(pairs.select(*ordered).distinct(), reps, sets, twice, k), "near")
+    linked = 100 * F.col("shared") >= percent * F.col("whole")
+    links = near.where(linked).select("a", "b")
+    # what lists hold outside the component of their first member
+    of = cut(components(links, listed.select("id")), "components")
+    placed = lists.select("v", "id", "n").join(of, "id").join(heads.select("v", F.col("p.id").alias("head")), "v").join(of.select(F.col("id").alias("head"), F.col("component_id").alias("main")), "head")
+    placed = placed.withColumn("a", F.least("id", "head")).withColumn("b", F.greatest("id", "head"))
+    placed = placed.join(near.select("a", "b", F.lit(True).alias("near"), linked.alias("direct")), ["a", "b"], "left")
+    direct = F.coalesce("direct", F.lit(False)) | (F.col("id") == F.col("head"))
+    placed = placed.select("v", "id", "n", "component_id", "main", direct.alias("direct"), F.coalesce("near", F.lit(False)).alias("near"))
+    apart = placed.where("component_id <> main").select("v").distinct()
+    placed = cut(placed.join(apart, "v"), "placed")
+    out = placed.where("component_id <> main").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component_id").alias("cx"), "near")
+    rest = placed.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component_id").alias("cy"), "direct")
+    far = out.drop("near").join(rest.where("NOT direct").drop("direct"), "v")
+    close = out.where("near").drop("near").join(rest.where("direct").drop("direct"), "v")
+    pairs = far.unionByName(close).where("cx <> cy").where(fits(F.col("nx"), F.col("ny"))).select(*ordered).distinct()
+    return links.unionByName(cut(_similar(pairs, reps, sets, percent, k).select("a", "b"), "links"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, key: str = "doc_id") -> DataFrame:
