@@ -165,8 +165,10 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     # through two members of each list
     first = F.struct("common", F.negative("id").alias("order"), "id", "n")
-    heads = lists.groupBy("v").agg(F.max(first).alias("p"), F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("q"), F.count("*").alias("members")).where("members > 1")
-    heads = cut(heads.select("v", F.struct("p.id", "p.n").alias("p"), "q"), "heads")
+    heads = lists.groupBy("v").agg(F.max(first).alias("p"), F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("q"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).where("members > 1")
+    # lists with the same members say the same: one of them is enough
+    heads = heads.groupBy("members", "m1", "m2").agg(F.min_by(F.struct("v", F.struct("p.id", "p.n").alias("p"), "q"), "v").alias("h"))
+    heads = cut(heads.select("h.*"), "heads")
     ties = lists.select("v", F.col("id").alias("y"), F.col("n").alias("ny")).join(heads, "v").select("y", "ny", F.explode(F.array("p", "q")).alias("h"))
     pairs = ties.select("y", "ny", F.col("h.id").alias("x"), F.col("h.n").alias("nx")).where("x <> y").where(fits(F.col("nx"), F.col("ny")))
     # 1 - similarity is a metric: who is further than twice the allowed distance from the first member links with none
