@@ -4,8 +4,9 @@ P(w | h) is the discounted share of w among the followers of h if the pair was s
 times P(w); P(w) is the discounted share of w, and all unseen words are one class that gets what discounts free.
 
 Texts become batches of token numbers, written once. Counts are exchanged as packed arrays: a batch sends its
-distinct words, later its distinct pairs, to buckets of their hash; a bucket adds them up over all batches, writes
-its part of the model and answers each batch in the order asked. Batches then score their documents token by
+distinct words, later its distinct pairs, to buckets of their hash; a bucket adds them up over all batches and answers
+each batch in the order asked. The answers are tables partitioned by bucket and batch; with them, or with the model's
+own rows where asked for, goes the count of every pair. Batches then score their documents token by
 token. Followers of a word that is very common are dealt to several buckets, and its sums are added up by the
 batches. Only counts of counts come to the driver.
 """
@@ -30,8 +31,9 @@ BATCH_TOKENS = 1_500_000
 BUCKET_WORDS, BUCKET_PAIRS = 500_000, 1_000_000
 #: Occurrences of a word from which its followers are dealt to several buckets.
 SPLIT = 2_000_000
-#: Followers are told apart by so many bits of their hash, besides the whole hash of the word before.
+#: Within a bucket, words before and their followers are told apart by so many bits of their hashes each.
 FOLLOWER_BITS = 48
+_MASK = np.uint64((1 << FOLLOWER_BITS) - 1)
 _START, _END = np.uint64(1), np.uint64(2)
 
 
@@ -255,17 +257,17 @@ def _send_pairs(word_buckets: int, buckets: int):
                 # a request without follower has the count 0 for "seen" and all bits of a follower set
                 plain = np.where(word[a:b] >= 0, follower[a:b], (1 << FOLLOWER_BITS) - 1).astype(np.uint64)
                 head = places[before[a:b][firsts]] + part[a:b][firsts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                rows.append(_row("pairs", int(bucket[a]), number, head.tobytes(), packed(runs), packed(plain, FOLLOWER_BITS // 8), packed(np.stack([times[a:b], seen[a:b].astype(np.int64)]).astype(np.uint64).ravel())))
+                rows.append(_row("pairs", int(bucket[a]), number, packed(mixed(head) & _MASK, FOLLOWER_BITS // 8), packed(runs), packed(plain, FOLLOWER_BITS // 8), packed(np.stack([times[a:b], seen[a:b].astype(np.int64)]).astype(np.uint64).ravel())))
         return _rows(rows)
 
     return send
 
 
-def _add_pairs(unigrams: Unigrams):
+def _add_pairs(unigrams: Unigrams, keep_model: bool):
     def add(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         numbers = table.column("batch").to_pylist()
-        heads = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("one")]
+        heads = [unpacked(x.as_py(), np.uint64, FOLLOWER_BITS // 8) for x in table.column("one")]
         runs = [unpacked(x.as_py(), np.uint32) for x in table.column("two")]
         follower = [unpacked(x.as_py(), np.uint64, FOLLOWER_BITS // 8) for x in table.column("three")]
         four = [unpacked(x.as_py(), np.uint64).reshape(2, -1) for x in table.column("four")]
@@ -283,8 +285,8 @@ def _add_pairs(unigrams: Unigrams):
         sums.append(np.bincount(of[few > GOOD_TURING], total[few > GOOD_TURING], len(contexts)))
         sums.append(np.bincount(of[known], p[known], len(contexts)))
         sums = np.array(sums)
-        by_context = np.argsort(of[known], kind="stable")
-        model = [contexts.tobytes(), packed(np.bincount(of[known], minlength=len(contexts)).astype(np.uint32)), packed(after[first][known][by_context], FOLLOWER_BITS // 8), packed(total[known][by_context].astype(np.uint64))]
+        by_context = np.argsort(of[known], kind="stable") if keep_model else None
+        model = [] if not keep_model else [contexts.tobytes(), packed(np.bincount(of[known], minlength=len(contexts)).astype(np.uint32)), packed(after[first][known][by_context], FOLLOWER_BITS // 8), packed(total[known][by_context].astype(np.uint64))]
         rows, row, head = [_row("model", bucket, -1, *model, tally=_tally(total[known]))], 0, 0
         for number, own_heads, own in zip(numbers, heads, follower, strict=True):
             rows.append(_row("pair counts", bucket, number, packed(total[at[row : row + len(own)]].astype(np.uint64)), packed(sums[:-1, head_at[head : head + len(own_heads)]].astype(np.uint64).ravel()), sums[-1, head_at[head : head + len(own_heads)]].tobytes()))
@@ -329,12 +331,20 @@ def _score(word_buckets: int, buckets: int, unigrams: Unigrams, d: np.ndarray):
     return score
 
 
-def katz_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def _release(spark) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def katz_scores(docs: DataFrame, key: str = "doc_id", keep_model: bool = False) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (key, text).
 
     Rows whose crc32(key as text) modulo 5 is 1 are held out, the others counted; rows without key are counted.
     A null text is empty: one end token. With nothing to learn from, all words are unseen. Repeated rows count
-    each time. Other columns are not read.
+    each time. Other columns are not read. With keep_model the counts of pairs are written as rows of their own too.
     """
     batches = cut(encoded(docs, key), "batches")
     size = batches.agg(F.sum("n_vocabulary").alias("words"), F.sum("n_tokens").alias("tokens")).first()
@@ -344,12 +354,14 @@ def katz_scores(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     opened = batches.select("batch", "ids", "held", "lengths", "vocabulary", "tokens")
     words = opened.mapInArrow(_send_words(word_buckets), _WORDS).groupBy("bucket").applyInArrow(_add_words, _WORDS)
     words = cut(words, "words")
+    _release(docs.sparkSession)
     tally = _sum_tally(words)
     k = GOOD_TURING + 2
     unigrams = Unigrams(tally[:k], int(tally[k:].sum()), int(_types(words)), tally[k:])
     word_answers = words.where("kind = 'word counts'")
     pairs = opened.groupBy("batch").cogroup(word_answers.groupBy("batch")).applyInArrow(_send_pairs(word_buckets, buckets), _WORDS)
-    pairs = cut(pairs.groupBy("bucket").applyInArrow(_add_pairs(unigrams), _WORDS), "pairs")
+    pairs = cut(pairs.groupBy("bucket").applyInArrow(_add_pairs(unigrams, keep_model), _WORDS), "pairs")
+    _release(docs.sparkSession)
     d = discounts(_sum_tally(pairs)[:k])
     answers = word_answers.unionByName(pairs.where("kind = 'pair counts'"))
     scored = opened.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_score(word_buckets, buckets, unigrams, d), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
