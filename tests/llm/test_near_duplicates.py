@@ -59,6 +59,23 @@ def test_components_equal_brute_force(spark, width, percent):
     assert all(got[i].n_shingles == len(s) and got[i].kept == (got[i].component_id == i) for i, s in sets.items())
 
 
+@pytest.mark.parametrize("width, percent, steps", [(3, 85, (0, 40, 80)), (5, 80, (0, 60, 130))])
+def test_nested_copies_with_a_common_footer(spark, width, percent, steps):
+    """Articles of 320 shingles; the longest copy heads the lists and is too long to link with the bare article."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    footer = words(steps[-1])
+    rows = []
+    for _ in range(12):
+        article = words(320 + width - 1)
+        rows += [(len(rows) + i, " ".join(article + footer[:n])) for i, n in enumerate(steps)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width, percent).collect()}
+    sets = {i: shingles(t, width) for i, t in rows}
+    expected = closure(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
+    assert expected == {i: i - i % 3 for i in sets}
+    assert got == expected
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).count() == 0

@@ -161,7 +161,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     sets = cut(full_sets(docs.join(likely.select(F.col("id").alias(key)), key, "left_semi"), width, key).dropDuplicates(["id"]), "sets")
     listed = cut(sharing(long_entries(sets, LONG_SKETCH), reps, percent, LONG_SKETCH), "listed")
     lists = listed.select("id", "n", "common", F.explode(F.slice("values", F.lit(1), F.col("spare") + 1)).alias("v"))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    fits = lambda x, y, least: 100 * F.least(x, y) >= least * F.greatest(x, y)
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     # through two members of each list
     first = F.struct("common", F.negative("id").alias("order"), "id", "n")
@@ -170,10 +170,11 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     heads = heads.groupBy("members", "m1", "m2").agg(F.min_by(F.struct("v", F.struct("p.id", "p.n").alias("p"), "q"), "v").alias("h"))
     heads = cut(heads.select("h.*"), "heads")
     ties = lists.select("v", F.col("id").alias("y"), F.col("n").alias("ny")).join(heads, "v").select("y", "ny", F.explode(F.array("p", "q")).alias("h"))
-    pairs = ties.select("y", "ny", F.col("h.id").alias("x"), F.col("h.n").alias("nx")).where("x <> y").where(fits(F.col("nx"), F.col("ny")))
+    pairs = ties.select("y", "ny", F.col("h.id").alias("x"), F.col("h.n").alias("nx")).where("x <> y")
     # 1 - similarity is a metric: who is further than twice the allowed distance from the first member links with none
-    # of those that link with it
+    # of those that link with it. Sizes, too, may only rule out what is that far
     twice = max(2 * percent - 100, 1)
+    pairs = pairs.where(fits(F.col("nx"), F.col("ny"), twice))
     near = cut(_similar(pairs.select(*ordered).distinct(), reps, sets, twice, k), "near")
     linked = 100 * F.col("shared") >= percent * F.col("whole")
     links = near.where(linked).select("a", "b")
@@ -190,7 +191,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     rest = placed.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component_id").alias("cy"), "direct")
     far = out.drop("near").join(rest.where("NOT direct").drop("direct"), "v")
     close = out.where("near").drop("near").join(rest.where("direct").drop("direct"), "v")
-    pairs = far.unionByName(close).where("cx <> cy").where(fits(F.col("nx"), F.col("ny"))).select(*ordered).distinct()
+    pairs = far.unionByName(close).where("cx <> cy").where(fits(F.col("nx"), F.col("ny"), percent)).select(*ordered).distinct()
     return links.unionByName(cut(_similar(pairs, reps, sets, percent, k).select("a", "b"), "links"))
 
 
