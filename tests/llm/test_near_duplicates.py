@@ -108,3 +108,22 @@ def test_vectors_equal_brute_force(spark):
 def test_vectors_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(df).count() == 0
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+@pytest.mark.parametrize("n", [64, 128, 256, 512, 1024, 2048, 4096])
+def test_recall_at_the_threshold_holds_as_pivots_grow(n, clustered):
+    """Pairs at a cosine of 0.9 in 64 dimensions that share two pivots, so meet in a list."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n + 2000, 64))
+    if clustered:
+        x = 0.5 * x + rng.normal(size=(50, 64))[rng.integers(50, size=len(x))]
+    x = embeddings.units(x)
+    pivots, v = x[:n], x[n:]
+    aside = rng.normal(size=v.shape)
+    aside = embeddings.units(aside - (aside * v).sum(axis=1, keepdims=True) * v)
+    m = getattr(embeddings, "nearest_of", lambda n: embeddings.NEAREST)(n)
+    a, b = (np.argsort(-(y @ pivots.T), axis=1)[:, :m] for y in (v, 0.9 * v + np.sqrt(1 - 0.9**2) * aside))
+    recall = ((a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1) >= 2).mean()
+    print(n, clustered, m, round(float(recall), 3))
+    assert recall >= 0.9

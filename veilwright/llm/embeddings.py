@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import components, cut
 
 COSINE = 0.9
-#: Nearest pivots that describe a vector.
+#: Nearest pivots that describe a vector, at least.
 NEAREST = 5
 #: Pivots grow with the square root of the vectors, so that lists keep their length, up to this many.
 MOST_PIVOTS = 4096
@@ -46,6 +46,17 @@ def fit_pivots(entries: DataFrame, n: int) -> np.ndarray:
     return units(np.array([[*r.v, *[0.0] * (dim - len(r.v))] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
 
 
+def nearest_of(n: int) -> int:
+    """Nearest pivots that describe a vector beside n pivots: two near vectors share fewer of them the denser the pivots lie."""
+    return max(NEAREST, 2 + int(np.log2(max(1, n))) // 2)
+
+
+def descriptions(own: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
+    """Numbers of the nearest pivots of each unit vector, sorted by number."""
+    width = min(own.shape[1], pivots.shape[1])
+    return np.sort(np.argsort(-(own[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :nearest], axis=1)
+
+
 def described(entries: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame:
     """Rows of the inverted lists: list, id, copies, near (the description, sorted), v. Vectors of other lengths are in other lists."""
 
@@ -56,9 +67,8 @@ def described(entries: DataFrame, pivots: np.ndarray, nearest: int) -> DataFrame
                 rows = np.flatnonzero(lengths == dim)
                 part = batch.take(pa.array(rows))
                 own = units(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                width = min(dim, pivots.shape[1])
-                m = min(nearest, len(pivots))
-                near = np.sort(np.argsort(-(own[:, :width] @ pivots[:, :width].T), axis=1, kind="stable")[:, :m], axis=1)
+                near = descriptions(own, pivots, nearest)
+                m = near.shape[1]
                 two = list(combinations(range(m), 2)) or [(0, 0)]
                 place = np.repeat(np.arange(len(rows)), len(two))
                 key = np.stack([(dim * MOST_PIVOTS + near[:, i]) * MOST_PIVOTS + near[:, j] for i, j in two], axis=1).ravel()
@@ -147,17 +157,18 @@ def linked_in_lists(dealt: DataFrame, least: float) -> DataFrame:
     return dealt.select("list", "i", "j", "block", "id", "copies", "near", "unit").mapInArrow(match, "id long, links long, root long")
 
 
-def near_vectors(vectors: DataFrame, least: float = COSINE, nearest: int = NEAREST, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = COSINE, nearest: int | None = None, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """key, n_links, component_id, kept for each row.
 
     Rows whose vector is null, empty, zero or has a null or non-finite component link with nothing, and so do rows
     without a key. Equal vectors always link. Vectors of different lengths don't. Other columns are not read.
+    nearest is nearest_of the pivots unless given.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v"))
     good = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
     entries = cut(good.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
     pivots = fit_pivots(entries, entries.count())
-    lists = described(entries, pivots, nearest) if len(pivots) else entries.sparkSession.createDataFrame([], "list long, id long, copies long, near array<int>, unit binary")
+    lists = described(entries, pivots, nearest or nearest_of(len(pivots))) if len(pivots) else entries.sparkSession.createDataFrame([], "list long, id long, copies long, near array<int>, unit binary")
     lists = cut(lists, "lists")
     sizes = lists.groupBy("list").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     blocked = lists.join(sizes.select("list", "blocks"), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
