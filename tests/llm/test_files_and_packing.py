@@ -53,6 +53,20 @@ def test_ids_equal_the_tokenizer(text):
     assert own(text) == whole.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "a", " ", "  ", "\n", "é", "b c", "<", "|>"]), max_size=12).map("".join))
+@settings(max_examples=150, deadline=None)
+def test_ids_equal_the_tokenizer_at_added_tokens(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = test_ids_equal_the_tokenizer_at_added_tokens
+    if not hasattr(own, "both"):
+        own.both = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder(packing.default_vocabulary())
+    whole, encode = own.both
+    assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 @given(st.lists(st.integers(1, 64), max_size=80))
 @settings(max_examples=100, deadline=None)
 def test_plan_places_every_piece_once(lengths):

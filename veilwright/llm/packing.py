@@ -35,11 +35,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """Tokens that the tokenizer finds in a text before it splits and merges: those of the .json file beside the rank file."""
+    import json
+    import os
+
+    beside = os.path.splitext(vocabulary)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in found):
+        raise ValueError(f"{beside}: added tokens are matched literally only")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder:
-    """Token ids of a text by the byte-level merges of a rank file.
+    """Token ids of a text by the byte-level merges of a rank file, those of the tokenizer in the .json file beside it.
 
-    The pattern that splits text before merging always splits before a single space between two other
-    characters, so texts are cut there and the ids of each part are kept; other texts are encoded whole.
+    Added tokens are matched first, and what lies between two of them is encoded on its own. The pattern that
+    splits text before merging always splits before a single space between two other characters, so texts are cut
+    there and the ids of each part are kept; other texts are encoded whole.
     """
 
     def __init__(self, vocabulary: str, cached: int = CACHED_WORDS):
@@ -51,10 +67,21 @@ class Encoder:
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.whole = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = added_tokens(vocabulary)
+        self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.known: dict[str, list[int]] = {}
         self.cached = cached
 
     def __call__(self, text: str) -> list[int]:
+        if not self.at_added or not self.at_added.search(text):
+            return self.plain(text)
+        ids, at = [], 0
+        for found in self.at_added.finditer(text):
+            ids += [*self.plain(text[at : found.start()]), self.added[found[0]]]
+            at = found.end()
+        return ids + self.plain(text[at:])
+
+    def plain(self, text: str) -> list[int]:
         if _UNEVEN.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
