@@ -32,6 +32,22 @@ def test_query_equals_its_sql(spark, duck, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(catalog.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("others", [0, 10_001])
+def test_terms_equal_their_sql_whatever_their_number(spark, tmp_path, others):
+    texts = ["alpha beta gamma delta", "alpha", " alpha beta ", "alphabet soup", "", None, "x\nbeta  gamma delta\ty", "xalpha beta gammay"]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (0, "other alpha beta gamma"), (None, texts[0]), (None, "alpha"), (1, "alpha")]
+    terms = ["alpha", "alpha beta", "beta gamma delta", "alpha beta gamma", "  gamma delta\t", " beta ", "", None, "a beta gam", "soup", " "]
+    items = [(i, t) for i, t in enumerate(terms)] + [(0, "alpha"), (3, "alpha beta gamma"), (None, "alpha")] + [(100 + i, f"zz{i}") for i in range(others)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = [tuple(r) for r in catalog.QUERIES["j13_texts_and_terms"](spark, str(tmp_path)).collect()]
+    expected = con.execute(catalog.ORACLES["j13_texts_and_terms"]).fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, expected)) and expected
+
+
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) <= set(entry.queries())
 

@@ -683,17 +683,39 @@ def j12_box_matches(spark, sf_dir):
     return t.groupBy("k").agg(F.bool_or(geometry.covered_fraction(a, b) >= 0.8).alias("covered"), F.bool_or(geometry.intersection_over_union(a, b) >= 0.5).alias("detected"))
 
 
+#: Terms that are scanned for at once.
+TERMS_AT_ONCE = 10_000
+
+
+def _texts_and_many_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of docs (doc_id, text) and terms (item_id, term), one row for each pair of rows.
+
+    A whole word inside a term is a word of each text that holds the term, so these pairs meet by it. Terms without
+    one are scanned for in blocks. Equal rows go as one with a count.
+    """
+    docs = docs.where("text IS NOT NULL").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    terms = terms.where("term IS NOT NULL").groupBy("item_id", "term").agg(F.count("*").alias("m"))
+    terms = terms.withColumn("w", F.regexp_extract("term", r"\S+\s+(\S+)\s", 1))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w")).distinct()
+    asked = words.join(terms.where("w <> ''"), "w").select(F.col("doc_id").alias("id"), "item_id", "term", "m")
+    held = F.contains("text", F.col("term"))
+    found = asked.join(docs, F.col("id").eqNullSafe(F.col("doc_id"))).where(held).select("doc_id", "item_id", "n", "m")
+    scanned = terms.where("w = ''")
+    blocks = -(-scanned.count() // TERMS_AT_ONCE)
+    for b in range(blocks):
+        block = scanned.where(F.pmod(F.xxhash64("item_id", "term"), F.lit(blocks)) == b)
+        found = found.unionByName(docs.join(F.broadcast(block), held).select("doc_id", "item_id", "n", "m"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n") * F.col("m")))).select("doc_id", "item_id")
+
+
 @query("SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def j13_texts_and_terms(spark, sf_dir):
     """Literal terms in texts. The terms are a policy's, so few; each text is scanned where it lies."""
     terms = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("term"))
-    few = terms.limit(10_001).count() <= 10_000  # a join of texts with more terms goes by the words that they share
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if few:
-        return docs.join(F.broadcast(terms), F.contains("text", F.col("term"))).select("doc_id", "item_id")
-    first = terms.withColumn("w", F.regexp_extract("term", r"\S+\s+(\S+)\s", 1))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("w"))
-    return words.join(first, "w").join(docs, "doc_id").where(F.contains("text", F.col("term"))).select("doc_id", "item_id").distinct()
+    if terms.limit(TERMS_AT_ONCE + 1).count() > TERMS_AT_ONCE:
+        return _texts_and_many_terms(docs, terms)
+    return docs.join(F.broadcast(terms), F.contains("text", F.col("term"))).select("doc_id", "item_id")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, a.k IS NULL AS only_right, b.k IS NULL AS only_left FROM (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R') a FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'A') b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
