@@ -158,6 +158,13 @@ def d17_merged_logits(spark, sf_dir):
     return models.merged_logits(l.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("place"), F.col("l_orderkey").alias("window"), F.col("l_quantity").alias("value")))
 
 
+@query(_with("""SELECT doc_id, place, list_reduce(list(v ORDER BY w), lambda a, b: (a + b) / 2) AS value FROM (SELECT l_orderkey % 1000 AS doc_id, l_linenumber AS place, l_orderkey AS w, l_quantity AS v FROM p) GROUP BY doc_id, place""", "SELECT * FROM {lineitem}"))
+def d17_merged_logits_whole(spark, sf_dir):
+    """All order lines; d17_merged_logits takes part of them, as its SQL does."""
+    l = table(spark, sf_dir, "lineitem")
+    return models.merged_logits(l.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("place"), F.col("l_orderkey").alias("window"), F.col("l_quantity").alias("value")))
+
+
 _HEADS = "SELECT l_orderkey AS doc_id, l_linenumber AS place, l_partkey % 10 / 8.0 AS head, l_suppkey % 10 / 10.0 AS tail FROM {lineitem}"
 
 
@@ -1223,6 +1230,14 @@ def k02_rendered(spark, sf_dir):
     return sinks.rendered(verified)
 
 
+@query()
+def k02_rendered_whole(spark, sf_dir):
+    """All documents and synthetic texts behind their check, with those that it holds back; k02_rendered takes one kind, as its SQL does."""
+    from ..operators import sinks
+
+    return sinks.rendered(redact.redact_and_verify(parts(spark, sf_dir), Policy()))
+
+
 @query()
 def k06_drafts(spark, sf_dir):
     from ..operators import sinks
