@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilwright.llm import decontamination, minhash, packing, quality, toxicity
 from veilwright.llm.common import cut, table
@@ -21,9 +22,19 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: similarity of 0.8 or more of their shingles of five words."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group: similarity of 0.8 or more of their shingles of five words.
+
+    Rows without doc_id and texts without words link with nothing and stay. Of rows that repeat doc_id and text one
+    stays, whichever of them; different texts under the doc_id that stays all stay.
+    """
+    pair = ["doc_id", "text_md5"]
+    marked = docs.withColumn("text_md5", F.md5("text"))
+    found = cut(minhash.near_duplicates(marked, width=5, percent=80, carry=("text_md5",)), "groups")
+    kept = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0")
+    repeated = kept.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").select(*pair)
+    out = marked.join(found.where("NOT kept").select(*pair).unionByName(repeated).distinct(), pair, "left_anti")
+    once = marked.join(repeated, pair, "left_semi").dropDuplicates(pair)
+    return out.unionByName(once).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,3 +21,12 @@ def test_stages_keep_columns_and_take_effect(spark):
     r = rows[0]
     ids = [*encode(texts[r.doc_id]), 0][r.start : r.start + r.length]
     assert zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)) == r.ids_crc32
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, a), (None, None), (1, a), (2, a), (3, b), (4, c), (4, c), (5, c), (6, None), (6, None), (7, ""), (4, None), (8, b + " more"), (9, "x y"), (9, "p q")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    expected = [(None, a), (None, a), (None, None), (1, a), (3, b), (4, c), (6, None), (6, None), (7, ""), (4, None), (9, "x y"), (9, "p q")]
+    assert sorted(map(repr, got)) == sorted(map(repr, expected))

@@ -59,8 +59,8 @@ def shingle_hashes(words: list[bytes], width: int, known: WordHashes) -> np.ndar
     return np.unique(total.view(np.int64))
 
 
-def sketches(docs: DataFrame, width: int, k: int = SKETCH, key: str = "doc_id") -> DataFrame:
-    """key, n (size of the shingle set), set_key (equal for equal sets, null for empty ones), sketch."""
+def sketches(docs: DataFrame, width: int, k: int = SKETCH, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n (size of the shingle set), set_key (equal for equal sets, null for empty ones), sketch, and the columns of carry."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -73,10 +73,11 @@ def sketches(docs: DataFrame, width: int, k: int = SKETCH, key: str = "doc_id")
                 n.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 least.append(found[:k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=[key, "n", "set_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.list_(pa.int64())), *batch.columns[2:]], names=[key, "n", "set_key", "sketch", *carry])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col("text").cast("string")).mapInArrow(sketch, f"`{key}` {kind}, n long, set_key binary, sketch array<long>")
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select(key, F.col("text").cast("string"), *carry).mapInArrow(sketch, f"`{key}` {kind}, n long, set_key binary, sketch array<long>{carried}")
 
 
 def full_sets(docs: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
@@ -195,19 +196,19 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     return links.unionByName(cut(_similar(pairs, reps, sets, percent, k).select("a", "b"), "links"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, component_id, kept for each row of docs (key, text).
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, n_shingles, component_id, the columns of carry, kept for each row of docs (key, text).
 
     Documents are linked if 100 * intersection >= percent * union of their sets of word shingles; a component is
     what links reach, named by its smallest key, the one kept. Null and empty texts, and texts without words, have
     an empty set and stay alone; shorter texts are one shingle. Rows with the same key get the same component if
     their texts are alike, else that of either; null keys are never linked. Other columns are not read.
     """
-    own = cut(sketches(docs, width, k, key), "sketches")
+    own = cut(sketches(docs, width, k, key, carry), "sketches")
     whole = own.where(F.col("set_key").isNotNull() & F.col(key).isNotNull())
     reps = cut(whole.groupBy("set_key").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "representatives")
     links = near_duplicate_links(docs, reps, width, percent, k, key)
     groups = components(links, reps.select("id").distinct())
     named = reps.select("set_key", "id").join(groups, "id").select("set_key", "component_id")
-    found = own.join(named, "set_key", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"))
+    found = own.join(named, "set_key", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), *carry)
     return found.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
