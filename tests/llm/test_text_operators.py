@@ -119,3 +119,13 @@ def test_folding():
     lexicon = toxicity.Lexicon({" loser ": 3.0, " lose": 1.0, " trash ": 2.0})
     assert lexicon.features("the l0ser")[0] == pytest.approx(math.log1p(3))
     assert lexicon.features("trash can")[0] == 0 and lexicon.features(None) == (0, 0)
+
+
+@pytest.mark.parametrize("token, word", [("5h1t", "shit"), ("$h!t", "shit"), ("7r45h", "trash"), ("1d10t", "idiot"), ("a55", "ass"), ("1D10T!", "idiot"), ("l0$3r", "loser")])
+def test_folding_of_several_substitutions(token, word):
+    assert f" {word} " in toxicity.folded(f"so {token}, he said")
+    assert toxicity.Lexicon({f" {word} ": 3.0}).features(f"so {token}")[0] == pytest.approx(math.log1p(3))
+
+
+def test_folding_leaves_numbers_and_plain_words():
+    assert toxicity.folded("2024 and 100% of 5! stop! $5, 3") == " and of stop "

@@ -42,16 +42,27 @@ _FOLD = str.maketrans(LOOKALIKES)
 _DISGUISED = re.compile(r"(?<=[^\W\d_])[013457@$!]+(?=[^\W\d_])|[013457@$]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457@$]+")
 _OTHER = re.compile(r"[\W\d_]+")
 _SIGNS = str.maketrans(SUBSTITUTES)
+#: Runs of letters and signs with one of each at least.
+_MIXED = re.compile(r"(?=[013457@$!]*[^\W\d_])(?=[^\W\d_]*[013457@$!])(?:[^\W\d_]|[013457@$!])+")
+
+
+def _readings(token: re.Match) -> str:
+    """A token as it reads with the signs beside plain letters folded, and as it reads with all of them folded.
+    Exclamation marks at the end are none."""
+    plain = _DISGUISED.sub(lambda m: m[0].translate(_SIGNS), token[0])
+    whole = token[0].rstrip("!").translate(_SIGNS)
+    return plain if _OTHER.sub(" ", plain).strip() == whole else f"{plain} {whole} "
 
 
 def folded(text: str | None) -> str:
-    """Words in small Latin letters, each with one space before and after it."""
+    """Words in small Latin letters, each with one space before and after it. A token that still holds signs among its
+    letters gives what it reads as without and with them."""
     if not text:
         return " "
     text = text.lower()
     if not text.isascii():
         text = text.translate(_FOLD)
-    text = _DISGUISED.sub(lambda m: m[0].translate(_SIGNS), text)
+    text = _MIXED.sub(_readings, text)
     return f" {_OTHER.sub(' ', text).strip()} "
 
 
