@@ -76,6 +76,42 @@ def test_nested_copies_with_a_common_footer(spark, width, percent, steps):
     assert got == expected
 
 
+@pytest.mark.parametrize("size, edits, rows", [(90, 14, 120), (700, 60, 40)])
+def test_cloud_around_the_threshold(spark, size, edits, rows):
+    """Copies with edits from a few words: similarities lie on both sides of the threshold, many sets share all they hold."""
+    rng = random.Random(size)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(size)]
+    texts = []
+    for _ in range(rows):
+        copy = list(base[: size - rng.randint(0, size // 8)])
+        for _ in range(rng.randint(0, edits // 3)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(3)}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    sets = [shingles(t, 3) for t in texts]
+    expected = closure(range(rows), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]))
+    assert 1 < len(set(expected.values())) < rows
+    assert got == expected
+
+
+def test_null_and_repeated_keys(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (None, a), (None, None), (2, a), (2, a), (3, b), (3, c), (4, b), (5, c), (6, None), (6, b)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, set_key string")
+    got = minhash.near_duplicates(docs, 3, 85).collect()
+    assert sorted((r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is None) == [(0, None, True), (28, None, True)]
+    found = {}
+    for r in got:
+        found.setdefault(r.doc_id, set()).add((r.component_id, r.kept))
+    b_first = minhash.shingle_hashes(common.words_of(b), 3, minhash.WordHashes()), minhash.shingle_hashes(common.words_of(c), 3, minhash.WordHashes())
+    import xxhash
+
+    spoken = 4 if xxhash.xxh3_128_digest(b_first[0].tobytes()) < xxhash.xxh3_128_digest(b_first[1].tobytes()) else 5
+    assert found[1] == {(1, True)} and found[2] == {(1, False)} and found[3] == {(3, True)}
+    assert found[spoken] == {(3, False)} and found[9 - spoken] == ({(4, True)} if spoken == 5 else {(5, True)})
+    assert found[6] == {(6, True), (3 if spoken == 4 else 4, False)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).count() == 0

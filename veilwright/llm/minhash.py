@@ -9,7 +9,8 @@ pair, and the full shingle sets decide.
 
 Lists may be long. Each is first tied together through two of its members (the one with the commonest values, which
 is where copies come from, and another), so a group of n copies costs n checks. What a list holds outside the
-component of its first member is then compared with all of the list. No list is cut or dropped.
+component of its first member is then compared with the rest of the list, as far as the values that both have from
+there on suffice for their sizes (positional filtering). No list is cut or dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, words_of
+from .common import components, cut, drop_table, words_of
 
 #: Values of the short and of the long sketch.
 SKETCH, LONG_SKETCH = 64, 512
@@ -81,15 +82,18 @@ def sketches(docs: DataFrame, width: int, k: int = SKETCH, key: str = "doc_id",
 
 
 def full_sets(docs: DataFrame, width: int, key: str = "doc_id") -> DataFrame:
-    """id, full: the whole shingle set as packed sorted hashes."""
+    """id, set_key, full: the whole shingle set as packed sorted hashes."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         known = WordHashes()
         for batch in batches:
             sets = [shingle_hashes(words_of(text.as_py()), width, known).tobytes() for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "full"])
+            keys = [xxhash.xxh3_128_digest(x) if x else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["id", "set_key", "full"])
 
-    return docs.select(F.col(key).alias("id"), F.col("text").cast("string")).mapInArrow(whole, f"id {docs.schema[key].dataType.simpleString()}, full binary")
+    return docs.select(F.col(key).alias("id"), F.col("text").cast("string")).mapInArrow(whole, f"id {docs.schema[key].dataType.simpleString()}, set_key binary, full binary")
 
 
 def _estimate(a: Column, b: Column, k: int) -> Column:
@@ -122,7 +126,7 @@ def _similar(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, k
 
 
 def least_overlap(n: Column, percent: int, k: int) -> Column:
-    """Values that the sketches of two sets of this size share at least if the sets are similar enough.
+    """Values that the sketches of a set of this size and of any that is similar enough share at least.
 
     Sets that surely fit into their sketches share percent of their values. Beyond, the share of the union's sketch
     is a draw without replacement: five standard deviations below its mean.
@@ -130,17 +134,21 @@ def least_overlap(n: Column, percent: int, k: int) -> Column:
     p = percent / 100
     m = F.least(n, F.lit(k))
     drawn = F.floor(m * p - 5.2 * F.sqrt(m * p * (1 - p)))
-    return F.greatest(F.when(n <= int(k * p), F.ceil(n * p)).otherwise(drawn), F.lit(1)).cast("int")
+    return F.greatest(F.when(n <= int(k * p), F.floor((n * percent + 99) / 100)).otherwise(drawn), F.lit(1)).cast("int")
+
+
+def shared_by_sizes(n: Column, m: Column, percent: int) -> Column:
+    """Size of the intersection of two sets of n and m values that are similar enough, at least."""
+    return F.floor(((n + m) * percent + (99 + percent)) / (100 + percent))
 
 
 def sharing(entries: DataFrame, sizes: DataFrame, percent: int, k: int) -> DataFrame:
-    """entries (id, v) of sketches of k values: id, values that others have too from rare to common, spare (how many of
-    them may be missed), common; only ids with enough of them."""
+    """entries (id, v) of sketches of k values: id, n, values (f, v) that f > 1 ids have, from rare to common, least (how
+    many of them a similar set has too), common; only ids with enough of them."""
     shared = entries.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    listed = entries.join(shared, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("x"))  # k values at most
-    listed = listed.join(sizes.select("id", "n"), "id").withColumn("c", least_overlap(F.col("n"), percent, k)).where(F.size("x") >= F.col("c"))
-    common = F.aggregate("x.f", F.lit(0.0), lambda s, f: s + F.log(f.cast("double")))
-    return listed.select("id", "n", F.col("x.v").alias("values"), (F.size("x") - F.col("c")).alias("spare"), common.alias("common"))
+    listed = entries.join(shared, "v").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("values"))  # k values at most
+    listed = listed.join(sizes.select("id", "n"), "id").withColumn("least", least_overlap(F.col("n"), percent, k)).where(F.size("values") >= F.col("least"))
+    return listed.withColumn("common", F.aggregate("values.f", F.lit(0.0), lambda s, f: s + F.log(f.cast("double"))))
 
 
 def long_entries(sets: DataFrame, k: int) -> DataFrame:
@@ -156,44 +164,74 @@ def long_entries(sets: DataFrame, k: int) -> DataFrame:
     return sets.select("id", "full").mapInArrow(least, f"id {kind}, v long")
 
 
+def inverted_lists(listed: DataFrame, percent: int, k: int) -> DataFrame:
+    """Entries (v, f, id, n, least, common, ahead) of the prefixes: under its first values each id stands in a list, with the
+    number of values from there on (ahead). Two similar sets share no more than either has ahead of the first value
+    that they share, so that value is in both prefixes.
+
+    An entry is strong if it has enough ahead for a set of its own size, or is of a set beyond its sketch. Of two similar
+    sets the smaller one's entry is strong; a weak one meets strictly smaller sets only, of up to reach values.
+    """
+    size = F.size("values")
+    prefix = F.slice("values", F.lit(1), size - F.col("least") + 1)
+    entries = listed.select("id", "n", "least", "common", size.alias("size"), F.posexplode(prefix).alias("i", "x"))
+    entries = entries.select(F.col("x.v").alias("v"), F.col("x.f").alias("f"), "id", "n", "least", "common", (F.col("size") - F.col("i")).alias("ahead"))
+    whole = F.floor(F.col("n") * 100 / percent) <= k  # so is the sketch of any similar set
+    strong = ~whole | (F.col("ahead") >= shared_by_sizes(F.col("n"), F.col("n"), percent))
+    reach = F.floor(F.col("ahead") * (100 + percent) / percent) - F.col("n")
+    return entries.withColumn("strong", strong).withColumn("reach", reach)
+
+
+def _enough(percent: int, k: int) -> Column:
+    """Whether entries x and y may be of similar sets: both have ahead what their sizes ask for."""
+    x, y = F.col("nx"), F.col("ny")
+    beyond = F.greatest(x - k, F.lit(0)) + F.greatest(y - k, F.lit(0))
+    needed = F.greatest("lx", "ly", shared_by_sizes(x, y, percent) - beyond)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (F.least("ax", "ay") >= needed)
+
+
 def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent: int, k: int = SKETCH, key: str = "doc_id") -> DataFrame:
-    """Links (a, b) between representatives (id, n, sketch) that give the components of all similar pairs."""
+    """Links (a, b) between representatives (id, set_key, n, sketch) that give the components of all similar pairs."""
     likely = cut(sharing(reps.select("id", F.explode("sketch").alias("v")), reps, percent, k).select("id"), "likely")
-    sets = cut(full_sets(docs.join(likely.select(F.col("id").alias(key)), key, "left_semi"), width, key).dropDuplicates(["id"]), "sets")
+    sets = full_sets(docs.join(likely.select(F.col("id").alias(key)), key, "left_semi"), width, key)
+    sets = cut(sets.join(reps.select("id", "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "full"), "sets")
     listed = cut(sharing(long_entries(sets, LONG_SKETCH), reps, percent, LONG_SKETCH), "listed")
-    lists = listed.select("id", "n", "common", F.explode(F.slice("values", F.lit(1), F.col("spare") + 1)).alias("v"))
-    fits = lambda x, y, least: 100 * F.least(x, y) >= least * F.greatest(x, y)
+    lists = inverted_lists(listed, percent, LONG_SKETCH)
+    columns = ("id", "n", "least", "ahead")
+    as_x, as_y = ([F.col(c).alias(to) for c, to in zip(columns, (z, f"n{z}", f"l{z}", f"a{z}"), strict=True)] for z in "xy")
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    enough = _enough(percent, LONG_SKETCH)
     # through two members of each list
-    first = F.struct("common", F.negative("id").alias("order"), "id", "n")
-    heads = lists.groupBy("v").agg(F.max(first).alias("p"), F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("q"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).where("members > 1")
-    # lists with the same members say the same: one of them is enough
-    heads = heads.groupBy("members", "m1", "m2").agg(F.min_by(F.struct("v", F.struct("p.id", "p.n").alias("p"), "q"), "v").alias("h"))
+    first = F.struct("common", F.negative("id").alias("order"), *columns)
+    heads = lists.groupBy("v", "f").agg(F.max(first).alias("p"), F.min_by(F.struct(*columns), F.xxhash64("id")).alias("q"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).where("members > 1")
+    # of lists with the same members the one of the first value is enough: if it isn't the first that two of them share, none of the others is
+    heads = heads.groupBy("members", "m1", "m2").agg(F.min_by(F.struct("v", F.struct(*(F.col(f"p.{c}").alias(c) for c in columns)).alias("p"), "q"), F.struct("f", "v")).alias("h"))
     heads = cut(heads.select("h.*"), "heads")
-    ties = lists.select("v", F.col("id").alias("y"), F.col("n").alias("ny")).join(heads, "v").select("y", "ny", F.explode(F.array("p", "q")).alias("h"))
-    pairs = ties.select("y", "ny", F.col("h.id").alias("x"), F.col("h.n").alias("nx")).where("x <> y")
-    # 1 - similarity is a metric: who is further than twice the allowed distance from the first member links with none
-    # of those that link with it. Sizes, too, may only rule out what is that far
-    twice = max(2 * percent - 100, 1)
-    pairs = pairs.where(fits(F.col("nx"), F.col("ny"), twice))
-    near = cut(_similar(pairs.select(*ordered).distinct(), reps, sets, twice, k), "near")
-    linked = 100 * F.col("shared") >= percent * F.col("whole")
-    links = near.where(linked).select("a", "b")
+    # what a list's members have ahead says nothing on a pair that shares an earlier value: ties go by their sizes
+    ties = lists.select("v", *as_y).join(heads, "v").select("y", "ny", "ly", F.explode(F.array("p", "q")).alias("h"))
+    ties = ties.select("y", "ny", "ly", F.col("h.id").alias("x"), F.col("h.n").alias("nx"), F.col("h.least").alias("lx")).where("x <> y")
+    ties = ties.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select(*ordered).distinct()
+    links = cut(_similar(ties, reps, sets, percent, k).select("a", "b"), "links")
     # what lists hold outside the component of their first member
     of = cut(components(links, listed.select("id")), "components")
-    placed = lists.select("v", "id", "n").join(of, "id").join(heads.select("v", F.col("p.id").alias("head")), "v").join(of.select(F.col("id").alias("head"), F.col("component_id").alias("main")), "head")
-    placed = placed.withColumn("a", F.least("id", "head")).withColumn("b", F.greatest("id", "head"))
-    placed = placed.join(near.select("a", "b", F.lit(True).alias("near"), linked.alias("direct")), ["a", "b"], "left")
-    direct = F.coalesce("direct", F.lit(False)) | (F.col("id") == F.col("head"))
-    placed = placed.select("v", "id", "n", "component_id", "main", direct.alias("direct"), F.coalesce("near", F.lit(False)).alias("near"))
-    apart = placed.where("component_id <> main").select("v").distinct()
-    placed = cut(placed.join(apart, "v"), "placed")
-    out = placed.where("component_id <> main").select("v", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component_id").alias("cx"), "near")
-    rest = placed.select("v", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component_id").alias("cy"), "direct")
-    far = out.drop("near").join(rest.where("NOT direct").drop("direct"), "v")
-    close = out.where("near").drop("near").join(rest.where("direct").drop("direct"), "v")
-    pairs = far.unionByName(close).where("cx <> cy").where(fits(F.col("nx"), F.col("ny"), percent)).select(*ordered).distinct()
-    return links.unionByName(cut(_similar(pairs, reps, sets, percent, k).select("a", "b"), "links"))
+    placed = lists.join(of, "id").join(heads.select("v", F.col("p.id").alias("head")), "v").join(of.select(F.col("id").alias("head"), F.col("component_id").alias("main")), "head")
+    placed = placed.select("v", *columns, "strong", "reach", "component_id", (F.col("component_id") != F.col("main")).alias("out"))
+    placed = cut(placed.join(placed.where("out").select("v").distinct(), "v"), "placed")
+    strong, weak = placed.where("strong"), placed.where("NOT strong")
+    lowest = F.floor((F.col("n") * percent + 99) / 100)
+    weak = weak.where(F.col("reach") >= lowest).withColumn("ny", F.explode(F.sequence(lowest, F.col("reach")))).select("v", *as_x, F.col("component_id").alias("cx"), "out", "ny")
+    x = lambda df: df.select("v", *as_x, F.col("component_id").alias("cx"))
+    y = lambda df: df.select("v", *as_y, F.col("component_id").alias("cy"))
+    met = [
+        x(strong.where("out")).join(y(strong), "v"),
+        weak.where("out").join(y(strong), ["v", "ny"]),
+        weak.where("NOT out").join(y(strong.where("out")), ["v", "ny"]),
+    ]
+    met = [m.where("cx <> cy").where(enough).select(*ordered) for m in met]
+    more = cut(_similar(met[0].unionByName(met[1]).unionByName(met[2]).distinct(), reps, sets, percent, k).select("a", "b"), "links")
+    for done in (likely, sets, listed, heads, placed, of):
+        drop_table(done)
+    return links.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -201,14 +239,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
     Documents are linked if 100 * intersection >= percent * union of their sets of word shingles; a component is
     what links reach, named by its smallest key, the one kept. Null and empty texts, and texts without words, have
-    an empty set and stay alone; shorter texts are one shingle. Rows with the same key get the same component if
-    their texts are alike, else that of either; null keys are never linked. Other columns are not read.
+    an empty set and stay alone; shorter texts are one shingle. Rows without a key link with nothing, have a null
+    component and are kept. Rows that repeat a key are one document, of which the text with the least hash of its set
+    speaks for all: they get its component, and all are kept if the key is. Other columns are not read.
     """
     own = cut(sketches(docs, width, k, key, carry), "sketches")
     whole = own.where(F.col("set_key").isNotNull() & F.col(key).isNotNull())
-    reps = cut(whole.groupBy("set_key").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "representatives")
+    several = cut(whole.groupBy(key).agg(F.min("set_key").alias("link_key"), F.max("set_key").alias("other")).where("link_key <> other").drop("other"), "several")
+    speaking, linked = whole, own.withColumn("link_key", F.col("set_key"))
+    if not several.isEmpty():
+        speaking = whole.join(several, key, "left").where("link_key IS NULL OR link_key = set_key").drop("link_key")
+        linked = own.join(several, key, "left").withColumn("link_key", F.when(F.col("set_key").isNotNull(), F.coalesce("link_key", "set_key")))
+    reps = cut(speaking.groupBy("set_key").agg(F.min(key).alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "representatives")
     links = near_duplicate_links(docs, reps, width, percent, k, key)
-    groups = components(links, reps.select("id").distinct())
-    named = reps.select("set_key", "id").join(groups, "id").select("set_key", "component_id")
-    found = own.join(named, "set_key", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", key).alias("component_id"), *carry)
+    groups = components(links, reps.select("id"))
+    named = reps.select(F.col("set_key").alias("link_key"), "id").join(groups, "id").select("link_key", "component_id")
+    component = F.when(F.col(key).isNotNull(), F.coalesce("component_id", key))
+    found = linked.join(named, "link_key", "left").select(key, F.col("n").alias("n_shingles"), component.alias("component_id"), *carry)
     return found.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
