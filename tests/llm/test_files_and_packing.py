@@ -67,6 +67,78 @@ def test_ids_equal_the_tokenizer_at_added_tokens(text):
     assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from([" ", "  ", "\t", "\n\n", "12345", "don't", "ÀÉß", "中文字", "\u00a0", "\u3000", "aaaaaaaaaaaaaaaaaaaaaaaa", "<|endoftext|>", "\r\n", "'ll", "\u2028", "١٢"])), max_size=14).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_ids_equal_the_tokenizer_on_any_text(text):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own = test_ids_equal_the_tokenizer_on_any_text
+    if not hasattr(own, "both"):
+        own.both = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder(packing.default_vocabulary(), cached=5)
+    whole, encode = own.both
+    assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_equal_the_tokenizer_on_documents(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    whole, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.Encoder(packing.default_vocabulary())
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert encode(r.text or "") == whole.encode(r.text or "", add_special_tokens=False).ids
+
+
+def fewest_bins(lengths, room):
+    """By trying every subset as the last bin."""
+    every = [sum(x for i, x in enumerate(lengths) if m >> i & 1) for m in range(1 << len(lengths))]
+    best = [0] + [len(lengths)] * (len(every) - 1)
+    for m in range(1, len(every)):
+        part = m
+        while part:
+            if every[part] <= room:
+                best[m] = min(best[m], best[m ^ part] + 1)
+            part = part - 1 & m
+    return best[-1]
+
+
+def best_fit(lengths, room):
+    bins = []
+    for x in sorted(lengths, reverse=True):
+        fits = [i for i, n in enumerate(bins) if n + x <= room]
+        if fits:
+            i = max(fits, key=bins.__getitem__)
+            bins[i] += x
+        else:
+            bins.append(x)
+    return len(bins)
+
+
+def sequences(lengths, room):
+    plan = packing.plan_bins({x: lengths.count(x) for x in set(lengths)}, room)
+    if not lengths:
+        return 0
+    n, at = 0, list(zip(*(plan[c].tolist() for c in ("length", "rank", "sequence", "times")), strict=True))
+    for (x, rank, sequence, times), after in zip(at, [*at[1:], (0, 0, 0, 0)], strict=True):
+        end = after[1] if after[0] == x else lengths.count(x)
+        n = max(n, sequence + -(-(end - rank) // times))
+    return n
+
+
+@given(st.lists(st.integers(1, 30), max_size=10))
+@settings(max_examples=150, deadline=None)
+def test_sequences_against_every_packing(lengths):
+    """Near the fewest possible (the heuristic's bound of 3/2), never above one more on these sizes."""
+    assert fewest_bins(lengths, 30) <= sequences(lengths, 30) <= fewest_bins(lengths, 30) + 1
+
+
+def test_sequences_against_best_fit():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        lengths = [int(x) for x in np.minimum(2048, rng.lognormal(5.5, 1.2, 600) + 1)]
+        assert -(-sum(lengths) // 2048) <= sequences(lengths, 2048) <= best_fit(lengths, 2048)
+
+
 @given(st.lists(st.integers(1, 64), max_size=80))
 @settings(max_examples=100, deadline=None)
 def test_plan_places_every_piece_once(lengths):
@@ -103,6 +175,13 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_packing_null_and_repeated_keys(spark):
+    docs = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b c"), (1, "b c"), (1, "d")], "doc_id long, text string")
+    rows = packing.pack_documents(docs).collect()
+    assert len(rows) == 5 and len({r.sequence_id for r in rows}) == 1
+    assert sorted(r.offset for r in rows) == [sum(sorted((r.length for r in rows), reverse=True)[:i]) for i in range(5)]
+
+
 def test_hilbert_neighbours():
     side = 8
     cells = np.array([(x, y, z) for x in range(side) for y in range(side) for z in range(side)])

@@ -8,6 +8,7 @@ as its lengths last. Pieces are then ranked within their length and looked up in
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -50,6 +51,20 @@ def added_tokens(vocabulary: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in found}
 
 
+class _Parts(dict):
+    """part of a text -> its ids as bytes, kept up to a bound."""
+
+    def __init__(self, whole, most: int):
+        super().__init__()
+        self.whole, self.most = whole, most
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[part] = np.array(self.whole(" " + part), "<u4").tobytes()
+        return found
+
+
 class Encoder:
     """Token ids of a text by the byte-level merges of a rank file, those of the tokenizer in the .json file beside it.
 
@@ -69,31 +84,32 @@ class Encoder:
         self.whole = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.added = added_tokens(vocabulary)
         self.at_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.known: dict[str, list[int]] = {}
-        self.cached = cached
+        self.known = _Parts(self.whole, cached)
 
     def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<u4").tolist()
+
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
         if not self.at_added or not self.at_added.search(text):
             return self.plain(text)
         ids, at = [], 0
         for found in self.at_added.finditer(text):
-            ids += [*self.plain(text[at : found.start()]), self.added[found[0]]]
+            ids += [self.plain(text[at : found.start()]), self.added[found[0]].to_bytes(4, "little")]
             at = found.end()
-        return ids + self.plain(text[at:])
+        return b"".join([*ids, self.plain(text[at:])])
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> bytes:
         if _UNEVEN.search(text):
-            return self.whole(text)
+            return np.array(self.whole(text), "<u4").tobytes()
         first, *rest = text.split(" ")
-        known, whole, ids = self.known, self.whole, self.whole(first)
-        for part in rest:
-            found = known.get(part)
-            if found is None:
-                if len(known) >= self.cached:
-                    known.clear()
-                found = known[part] = whole(" " + part)
-            ids += found
-        return ids
+        return np.array(self.whole(first), "<u4").tobytes() + b"".join(map(self.known.__getitem__, rest))
+
+
+@functools.lru_cache(1)
+def worker_encoder(vocabulary: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return Encoder(vocabulary)
 
 
 def tokenised_pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens: int = MAX_TOKENS, end_id: int = 0, key: str = "doc_id") -> DataFrame:
@@ -101,18 +117,19 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str | None = None, max_tokens:
     vocabulary = vocabulary or default_vocabulary()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        encode, end = worker_encoder(vocabulary).packed, np.array([end_id], "<u4").tobytes()
         for batch in batches:
             take, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), end_id], dtype="<u4")
-                cuts = [0, *range(len(ids) % max_tokens or max_tokens, len(ids) + 1, max_tokens)]
+                ids = encode(text.as_py() or "") + end
+                n_ids = len(ids) // 4
+                cuts = [0, *range(n_ids % max_tokens or max_tokens, n_ids + 1, max_tokens)]
                 for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     take.append(row)
                     piece.append(n)
                     start.append(a)
                     length.append(b - a)
-                    crc.append(zlib.crc32(ids[a:b].tobytes()))
+                    crc.append(zlib.crc32(ids[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=[key, "piece", "start", "length", "ids_crc32"],
