@@ -5,6 +5,8 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veilwright.llm import chat, decontamination, katz, quality, toxicity
@@ -17,59 +19,124 @@ def documents(spark, texts):
     return spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, words string, value string")
 
 
-def brute_katz(rows):
-    """Katz in plain Python, by its definition."""
+def brute_katz(rows, order, others=()):
+    """Katz in plain Python, by its definition. others are scored only."""
     k = katz.GOOD_TURING
-    tokens = {i: [*(t or "").encode().lower().split(), b"</s>"] for i, t in rows}
+    tokens = {i: [*(t or "").encode().lower().split(), b"</s>"] for i, t in [*rows, *others]}
     train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    one = Counter(w for i in train for w in tokens[i])
-    two = Counter(p for i in train for p in zip([b"<s>", *tokens[i]], tokens[i], strict=False))
-    n = sum(one.values())
+    grams = [Counter() for _ in range(order + 1)]
+    for i in train:
+        grams[1].update((w,) for w in tokens[i])
+        padded = [b"<s>", *tokens[i]]
+        for m in range(2, order + 1):
+            grams[m].update(tuple(padded[j : j + m]) for j in range(len(padded) - m + 1))
+    n = sum(grams[1].values())
 
     def discounts(counts):
-        of = np.bincount([c for c in counts if c <= k + 1], minlength=k + 2)
-        return katz.discounts(of)
+        return katz.discounts(np.bincount([c for c in counts if c <= k + 1], minlength=k + 2))
 
-    d1, d2 = discounts(one.values()), discounts(two.values())
-    seen = sum(d1[min(c, k + 1)] * c for c in one.values()) / n if n else 0
+    d = [None, *(discounts(grams[m].values()) for m in range(1, order + 1))]
+    cut_down = lambda m, c: d[m][min(c, k + 1)] * c
+    seen = sum(cut_down(1, c) for c in grams[1].values()) / n if n else 0
     unseen = max(1 - seen, 1 / (n + 1))
-    p1 = lambda w: (1 - unseen) / seen * d1[min(one[w], k + 1)] * one[w] / n if one[w] else unseen
     after = {}
-    for (h, w), c in two.items():
-        after.setdefault(h, {})[w] = c
-
-    def p2(w, h):
-        own = after.get(h)
+    for m in range(2, order + 1):
+        for g, c in grams[m].items():
+            after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(w, h):
+        if not h:
+            c = grams[1][w,]
+            return (1 - unseen) / seen * cut_down(1, c) / n if c else unseen
+        own, m = after.get(h), len(h) + 1
         if not own:
-            return p1(w)
+            return p(w, h[1:])
         c = sum(own.values())
-        taken = sum(d2[min(x, k + 1)] * x for x in own.values()) / c
+        taken = sum(cut_down(m, x) for x in own.values()) / c
         left = max(1 - taken, 1 / (c + 1))
         if w in own:
-            return (1 - left) / taken * d2[min(own[w], k + 1)] * own[w] / c
-        return left / (1 - sum(p1(x) for x in own)) * p1(w)
+            return (1 - left) / taken * cut_down(m, own[w]) / c
+        return left / (1 - sum(p(x, h[1:]) for x in own)) * p(w, h[1:])
+
+    v = len(grams[1])
+    base = lambda w: math.log10((grams[1][w,] + 0.5) / (n + 0.5 * (v + 1)))
+    score = {i: sum(math.log10(p(w, tuple([b"<s>", *t][max(0, j + 2 - order) : j + 1]))) for j, w in enumerate(t)) for i, t in tokens.items()}
+    contexts = [h for h in after if h][:15] + [h for h in after if len(h) == order - 1][:15] + [(b"never seen",)]
+    everything = [sum(p(w, h) for (w,) in grams[1]) + p(b"never seen", h) for h in contexts]
+    return tokens, grams[1], n, {i: sum(map(base, t)) for i, t in tokens.items()}, score, everything
+
 
-    v = len(one)
-    base = lambda w: math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1)))
-    score = {i: sum(math.log10(p2(w, h)) for h, w in zip([b"<s>", *t], t, strict=False)) for i, t in tokens.items()}
-    everything = {h: sum(p2(w, h) for w in one) + p2(b"never seen", h) for h in [*list(after)[:20], b"never seen"]}
-    return tokens, one, n, {i: sum(map(base, t)) for i, t in tokens.items()}, score, everything
+def zipf_texts(seed, n):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 60)) if x < 300) for _ in range(n)]
 
 
-def test_katz_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_equals_brute_force(spark, monkeypatch, order):
     monkeypatch.setattr(katz, "SPLIT", 20)
-    rng = np.random.default_rng(1)
-    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 60)) if x < 300) for _ in range(150)] + [None, "", "A a A"]
+    monkeypatch.setattr(katz, "BUCKET_GRAMS", 700)
+    monkeypatch.setattr(katz, "BUCKET_WORDS", 100)
+    texts = zipf_texts(1, 150) + [None, "", "A a A"]
     rows = list(enumerate(texts))
-    tokens, one, n, base, score, everything = brute_katz(rows)
-    assert all(abs(x - 1) < 1e-9 for x in everything.values())
-    got = {r.doc_id: r for r in katz.katz_scores(documents(spark, texts)).collect()}
+    others = [(1000 + i, t) for i, t in enumerate(zipf_texts(2, 20) + [None, "w1 w1 never seen w2"])]
+    tokens, one, n, base, score, everything = brute_katz(rows, order, others)
+    assert all(abs(x - 1) < 1e-9 for x in everything)
+    scores, model = katz.katz(documents(spark, texts), order=order)
+    got = {r.doc_id: r for r in scores.collect()}
+    assert len(got) == len(rows)
+    other = spark.createDataFrame(others, "doc_id long, text string")
+    for r in katz.katz(other, order=order, model=model)[0].collect():
+        assert r.held_out
+        got[r.doc_id] = r
     for i, t in tokens.items():
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(t), sum(one[w] > 0 for w in t), n, zlib.crc32(str(i).encode()) % 5 == 1)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w,] > 0 for w in t), n)
+        assert r.held_out == (i >= 1000 or zlib.crc32(str(i).encode()) % 5 == 1)
         assert r.base_score == pytest.approx(base[i]) and r.score == pytest.approx(score[i])
 
 
+def test_katz_of_null_and_repeated_keys_and_nothing_to_learn(spark):
+    docs = spark.createDataFrame([(None, "a b", "x"), (2, "a b", "x"), (2, "a b", "x"), (2, None, "x")], "doc_id long, text string, words string")
+    rows = katz.katz_scores(docs).collect()
+    assert sorted(str(r.doc_id) for r in rows) == ["2", "2", "2", "None"] and {r.train_tokens for r in rows} == {10}
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    (r,) = katz.katz_scores(documents(spark, [None]).select(F.lit(held).cast("long").alias("doc_id"), F.lit("a b").alias("text"))).collect()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0) and r.score == 0
+
+
+def test_katz_stores_its_counts_by_slice(spark):
+    _, model = katz.katz(documents(spark, ["a b a b", "a c"]))
+    assert [t.count() for t in model.tables] == [1, 1, 1]
+    held = [katz.unpack(t.first().body) for t in model.tables]
+    assert sorted(held[0][1].tolist()) == sorted(Counter("a b a b </s> a c </s>".split()).values())
+    assert sorted(held[1][-2].tolist()) == [1, 1, 1, 1, 2, 2] and len(held[2][-2]) == 6
+    assert all("kind=model/slice=" in r[0] for t in model.tables for r in t.select(F.input_file_name()).collect())
+
+
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abAB \t\n\x0b\x0c\r\x1c\u00a0é中", max_size=30), st.sampled_from(["x" * 1500, "y" * 700, "word " * 300, "z" * 90])), max_size=12))
+@settings(max_examples=80, deadline=None)
+def test_word_hashes_tell_words_apart(texts):
+    own, blob = {}, katz._BLOB
+    try:
+        katz._BLOB = 1200  # several blobs, and words longer than one
+        found = list(katz.word_hashes(texts))
+    finally:
+        katz._BLOB = blob
+    assert len(found) == len(texts)
+    for text, hashes in zip(texts, found, strict=True):
+        words = (text or "").encode().lower().split()
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes.tolist(), strict=True):
+            assert own.setdefault(w, h) == h
+    assert len(set(own.values())) == len(own)
+
+
+@given(st.lists(st.lists(st.integers(0, 2**63 - 1), max_size=20), max_size=5))
+@settings(max_examples=50, deadline=None)
+def test_packed_arrays(arrays):
+    assert [x.tolist() for x in katz.unpack(katz.pack(*(np.array(a, np.int64) for a in arrays)))] == arrays
+
+
 def test_katz_of_an_empty_table(spark):
     assert katz.katz_scores(documents(spark, []).limit(0)).count() == 0
 

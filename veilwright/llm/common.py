@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,19 +50,42 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later jobs start there, also after lost executors."""
+#: Bytes of rows that go to a Python worker at once, where rows are packed arrays.
+ARROW_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (names with __ for dots) while what is inside runs."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = (), arrow_bytes: int = 0) -> DataFrame:
+    """Write df as a table in the shared folder (a folder for each value of by) and read it back: later jobs start there,
+    also after lost executors, and the shuffle files before it go."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    limit = {"spark__sql__execution__arrow__maxBytesPerBatch": f"{arrow_bytes}b"} if arrow_bytes else {}
+    with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **limit):
+        df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that cut() wrote and nothing will read again."""
+def drop_table(df: DataFrame, folder: str = "") -> None:
+    """Delete the files of a table that cut() wrote, or of those of its folders that are named so, once nothing will read them again."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    for found in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder not in found:
+            continue
+        path = jvm.org.apache.hadoop.fs.Path(found)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
