@@ -34,7 +34,7 @@ from .minhash import mixed
 ORDER = 3
 #: Counts up to which Good-Turing discounts apply.
 GOOD_TURING = 5
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 1_500_000
 #: Words, and n-grams, that one bucket adds up, about.
 BUCKET_WORDS, BUCKET_GRAMS = 500_000, 700_000
 #: Occurrences of a context from which its followers are dealt to several buckets.
@@ -463,16 +463,16 @@ class Batch:
         if len(starts):
             missing = np.add.reduceat(((total == 0) & real).astype(np.int64), starts) > 0
         n = len(counts)
-        sums = np.zeros((GOOD_TURING + 1, n))
         told = split | (counts[head] != 1)
-        sums[0, head[~told]] = 1
         tallies = np.concatenate([b[1].reshape(GOOD_TURING + 1, -1) for b in bodies], axis=1) if bodies else np.zeros((GOOD_TURING + 1, 0))
-        for r in range(GOOD_TURING + 1):
-            sums[r] += np.bincount(head[told], tallies[r], n)
+        d, c = self.known.d[order - 1], np.maximum(counts, 1).astype(float)
+        # discounted occurrences of a context's followers
+        taken = np.bincount(head[told], np.array([*(d[r] * r for r in range(1, GOOD_TURING + 1)), 1.0]) @ tallies, n)
+        taken = np.asarray(taken, float)
+        taken[head[~told]] = d[1]
+        taken = taken / c
         single = np.bincount(head[split | missing], np.concatenate([b[2].view(np.float64) for b in bodies]) if bodies else None, n)
         del bodies, tallies, total, bucket, context, part, gram, real
-        d, c = self.known.d[order - 1], np.maximum(counts, 1).astype(float)
-        taken = (sum(d[r] * r * sums[r - 1] for r in range(1, GOOD_TURING + 1)) + sums[GOOD_TURING]) / c
         left = np.where(taken > 0, np.maximum(1 - taken, 1 / (c + 1)), 1.0)
         scale = np.where(taken > 0, (1 - left) / np.maximum(taken, 1e-300), 0.0) / c
         if order == 2:
