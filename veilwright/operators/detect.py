@@ -22,6 +22,11 @@ FINDING = (
 FIELDS = ("start", "end", "entity_type", "matched_text", "detector", "confidence", "explanation_code", "selected", "reviewed", "replacement", "rule_ord")
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with value as column name, found once: the generator keeps the optimizer from copying value into its uses."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def none_found() -> Column:
     return F.array().cast(f"array<{FINDING}>")
 
@@ -101,17 +106,28 @@ def unlike(findings: Column, others: Column) -> Column:
     return F.filter(findings, lambda f: ~F.exists(others, lambda o: (o["start"] == f["start"]) & (o["end"] == f["end"])))
 
 
+def ordered_of(findings: Column, key) -> Column:
+    return F.array_sort(findings, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+
+
 def first_of_each(findings: Column) -> Column:
-    """Without later findings of the same span and entity, and without card numbers that are an identity number before.
+    """Without later findings of the same span and entity, and without card numbers that are an identity number; by span.
 
-    A fold names the array once; as a filter it would be found anew for each of its elements.
+    Sorted so that each finding follows those that rule it out, so a look at the one before decides.
     """
+    place = lambda f: F.when(f["entity_type"] == "CN_ID_NUMBER", " ").when(f["entity_type"] == "BANK_CARD_NUMBER", "!").otherwise(f["entity_type"])
+    key = lambda f: F.struct(f["start"], f["end"], place(f), f["rule_ord"])
 
     def clash(o: Column, f: Column) -> Column:
         other = (o["entity_type"] == "CN_ID_NUMBER") & (f["entity_type"] == "BANK_CARD_NUMBER")
         return (o["start"] == f["start"]) & (o["end"] == f["end"]) & ((o["entity_type"] == f["entity_type"]) | other)
 
-    return F.aggregate(findings, none_found(), lambda kept, f: F.when(F.exists(kept, lambda o: clash(o, f)), kept).otherwise(F.array_append(kept, f)))
+    def firsts(ordered: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast(FINDING)), F.slice(ordered, 1, F.size(ordered) - 1))
+        pairs = F.zip_with(ordered, before, lambda f, o: F.struct(f.alias("f"), F.coalesce(clash(o, f), F.lit(False)).alias("late")))
+        return F.transform(F.filter(pairs, lambda p: ~p["late"]), lambda p: p["f"])
+
+    return kernel.let(findings, lambda every: F.when(F.size(every) < 2, every).otherwise(kernel.let(ordered_of(every, key), firsts)))
 
 
 def in_order(findings: Column) -> Column:
@@ -229,4 +245,4 @@ def detect_rules(parts: DataFrame, pack: str = "core", scan_code: bool = True, t
         found = core_findings(column, ranges, scan_code)
     else:
         found = {"baseline": baseline_findings, "context": context_findings}[pack](column)
-    return parts.withColumn("findings", found)
+    return settled(parts, "findings", found)

@@ -6,18 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import detect, resolve
-from .detect import core_findings, exact_findings, fences
+from .detect import core_findings, exact_findings, fences, settled
 from .policy import Policy, apply_policy, filter_findings
 from .rules import RULES_DETECTOR, TERMS_DETECTOR
 
 RESIDUAL = "struct<start:int,end:int,entity_type:string,detector:string,explanation_code:string>"
 
 
-def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with value as column name, found once: the generator keeps the optimizer from copying value into its uses."""
-    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
-
-
 def run_detection(text: Column, policy: Policy, models: list[tuple[str, Column]] = (), kind: Column | None = None) -> Column:
     """Rules, exact terms, filter, models by priority, filter again, in order. models: (detector id, findings) that answered."""
     ranges = F.when(kind == "markdown", fences(text)).otherwise(F.array().cast("array<struct<open:int,close:int>>")) if kind is not None else None

@@ -52,7 +52,7 @@ _FOUND_SQL = 'doc_id, s AS start, e AS "end", entity_type, v AS matched_text, co
 
 def _detector(key: str, name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = parts(spark, sf_dir).withColumn("findings", detect.core_rule(F.col("text"), name))
+        found = detect.settled(parts(spark, sf_dir), "findings", detect.core_rule(F.col("text"), name))
         return detect.exploded(found).select(*FOUND)
 
     run.__name__ = key
@@ -90,7 +90,7 @@ def _terms_sql(source: str = "p") -> str:
 
 @query(_with(f"SELECT {_FOUND_SQL} FROM ({_terms_sql()})"))
 def d11_exact_terms(spark, sf_dir):
-    found = parts(spark, sf_dir).withColumn("findings", detect.exact_findings(F.col("text"), TERMS))
+    found = detect.settled(parts(spark, sf_dir), "findings", detect.exact_findings(F.col("text"), TERMS))
     return detect.exploded(found).select(*FOUND)
 
 
@@ -1139,7 +1139,7 @@ def r07_review_groups(spark, sf_dir):
     return redact.review_groups(t, decisions).select("page_id", "n", "selected", "reviewed")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN a < b THEN substr(c, 1, a) || CASE WHEN first_one THEN '[X]' ELSE '' END || substr(c, b + 1) ELSE c END AS slot FROM (SELECT *, min(CASE WHEN a < b THEN l_linenumber END) OVER (PARTITION BY l_orderkey) = l_linenumber AS first_one FROM (SELECT *, greatest(10 - at, 0) AS a, least(40 - at, length(c)) AS b FROM (SELECT l_orderkey, l_linenumber, l_comment AS c, coalesce(sum(length(l_comment)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS at FROM lineitem)))")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN a < b THEN substr(c, 1, a) || CASE WHEN first_one THEN '[X]' ELSE '' END || substr(c, b + 1) ELSE c END AS slot FROM (SELECT *, min(CASE WHEN a < b THEN l_linenumber END) OVER (PARTITION BY l_orderkey) = l_linenumber AS first_one FROM (SELECT *, greatest(10 - begins, 0) AS a, least(40 - begins, length(c)) AS b FROM (SELECT l_orderkey, l_linenumber, l_comment AS c, coalesce(sum(length(l_comment)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS begins FROM lineitem)))")
 def r08_cross_run_rewrite(spark, sf_dir):
     """One span (10 to 40) over the runs of each paragraph: the first run takes the replacement, the others lose their signs."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
