@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwright.llm import decontamination, minhash, packing, quality, toxicity
-from veilwright.llm.common import cut, table
+from veilwright.llm.common import cut, fresh_name, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones."""
+    """Documents that the classifier takes for good ones. Rows are judged one by one: null and repeated ids, empty texts and
+    columns of any name stay as they are."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality.with_scores(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.good_ones(docs, model)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon doesn't find toxic."""
+    """Documents that the lexicon doesn't find toxic. Rows are judged one by one, as by the classifier."""
     lexicon = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, lexicon).where("predicted = 0").select(*docs.columns)
+    return toxicity.harmless_ones(docs, lexicon)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,9 +28,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without doc_id and texts without words link with nothing and stay. Of rows that repeat doc_id and text one
     stays, whichever of them; different texts under the doc_id that stays all stay.
     """
-    pair = ["doc_id", "text_md5"]
-    marked = docs.withColumn("text_md5", F.md5("text"))
-    found = cut(minhash.near_duplicates(marked, width=5, percent=80, carry=("text_md5",)), "groups")
+    md5 = fresh_name(docs.columns, "text_md5")
+    pair = ["doc_id", md5]
+    marked = docs.withColumn(md5, F.md5("text"))
+    found = cut(minhash.near_duplicates(marked.select("doc_id", "text", md5), width=5, percent=80, carry=(md5,)), "groups")
     kept = found.where("kept AND doc_id IS NOT NULL AND n_shingles > 0")
     repeated = kept.groupBy(*pair).agg(F.count("*").alias("n")).where("n > 1").select(*pair)
     out = marked.join(found.where("NOT kept").select(*pair).unionByName(repeated).distinct(), pair, "left_anti")
@@ -38,11 +40,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Rows without doc_id and without text stay; all rows of an id go if one goes."""
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document; rows without doc_id and repeated rows are packed as documents of their own."""
     return packing.pack_documents(docs)
 
 

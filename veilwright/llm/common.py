@@ -33,6 +33,14 @@ def fold_bucket(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def fresh_name(columns: list[str], name: str) -> str:
+    """name, lengthened until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)

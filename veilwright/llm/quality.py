@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket
+from .common import fold_bucket, fresh_name
 from .minhash import mixed
 
 BITS = 18
@@ -92,13 +92,18 @@ def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], bits:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """text and label of at most limit documents that have one, outside fold 0; the least hashes of doc_id."""
+    """doc_id, label and text of at most limit documents that have one, outside fold 0; the least hashes of doc_id. Of an id
+    that several rows have, the largest label and the least text count."""
     named = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold_bucket(F.col("doc_id")) != 0))
     chosen = named.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # limit rows
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # limit rows
+    return found.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = SAMPLE) -> Model:
+    """A model of the labelled sample. Without labelled rows all scores are 0.5, with one class only they lean to it. Rows
+    without id or label teach nothing, empty and null texts teach the bias. Other columns are not read."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
@@ -115,17 +120,46 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     return follow_the_leader([(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32).astype(np.float64), r.label) for r in rows])
 
 
-def with_scores(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """docs with score (0 to 1) and predicted (score >= least). Null and empty texts get the score of a text without n-grams."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+def rated(docs: DataFrame, make) -> tuple[DataFrame, str]:
+    """docs with a column of scores, under a name of its own. make() gives a task the function from text to score."""
     names = docs.columns
+    name = fresh_name(names, "rating")
+    text = fresh_name([*names, name], "rated_text")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = Words(), shared.value
+        score = make()
         for batch in batches:
-            scores = [model.score(t.as_py(), known) for t in batch.column(batch.schema.get_field_index("__text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], names=[*names, "__score"])
+            scores = [score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names, name])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rated = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(rate, f"{fields}, __score double")
-    return rated.select(*names, F.col("__score").alias("score"), (F.col("__score") >= least).cast("int").alias("predicted"))
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(rate, f"{fields}, {name} double"), name
+
+
+def with_score_columns(docs: DataFrame, make, least: float) -> DataFrame:
+    """docs with score and predicted (score >= least), which take the place of columns with these names."""
+    found, name = rated(docs, make)
+    own = [F.col(name).alias("score"), (F.col(name) >= least).cast("int").alias("predicted")]
+    return found.select(*[c for c in docs.columns if c.lower() not in ("score", "predicted")], *own)
+
+
+def _scorer(docs: DataFrame, model: Model):
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+
+    def make():
+        known, model = Words(), shared.value
+        return lambda text: model.score(text, known)
+
+    return make
+
+
+def with_scores(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """docs with score (0 to 1) and predicted (score >= least), in the place of columns with these names. Null and empty
+    texts get the score of a text without n-grams. Rows are scored one by one: ids may be null or repeat."""
+    return with_score_columns(docs, _scorer(docs, model), least)
+
+
+def good_ones(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
+    """The rows of docs that score least or more."""
+    found, name = rated(docs, _scorer(docs, model))
+    return found.where(F.col(name) >= least).select(*docs.columns)

@@ -100,7 +100,9 @@ def write_shards(rows: DataFrame, sharded: DataFrame, path: str, key: str = "doc
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Documents over language, source and size; ties by text, so equal texts of a source lie side by side."""
+    """Documents over language, source and size; ties by text, so equal texts of one language and source follow one another in
+    the order, and share a shard unless a cut falls between them. Texts of any length count by their bytes only; columns
+    named as the result's are not read."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
     sized = docs.select("doc_id", "lang", "source", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     cells = [category_cell(F.col("lang")), category_cell(F.col("source")), magnitude_cell(F.col("size"))]

@@ -2,11 +2,13 @@
 
 Folding undoes the usual disguises: capitals, look-alike letters, digits and signs for letters. Lexicon entries are
 words and word beginnings with the log odds that labelled rows give them. A phrase of the exceptions takes back the
-entries that it covers. A document's score is a logistic curve of its weight and of its weight per word.
+entries that it covers: two words of which one matches an entry and that clean labelled rows have while toxic ones don't,
+and some fixed ones. A document's score is a logistic curve of its weight and of its weight per word.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -17,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import labelled_sample
+from .common import cut, drop_table
+from .quality import labelled_sample, rated, with_score_columns
 
 #: Labelled rows that a model is fitted on at most, by the hash of their id.
 SAMPLE = 20_000
 #: Entries of the lexicon at most.
 ENTRIES = 4000
+#: Exceptions that are learnt at most.
+PHRASES = 2000
 #: Letters of a word beginning.
 STEM = range(4, 9)
 LEAST_DOCS = 5
@@ -101,15 +106,23 @@ class Lexicon:
         """(weight, weight per square root of words). At a place only the heaviest entry counts; none inside an exception."""
         plain, automaton = folded(text), self.built()
         best: dict[int, float] = {}
-        spared: list[tuple[int, int]] = []
+        spared: list[list[int]] = []
         for end, (length, weight) in automaton.iter(plain) if len(automaton) else ():
             start = end - length + 1
             if weight is None:
-                spared.append((start, end))
+                # ends ascend: what overlaps is one range
+                while spared and spared[-1][0] >= start:
+                    spared.pop()
+                if spared and spared[-1][1] >= start - 1:
+                    spared[-1][1] = end
+                else:
+                    spared.append([start, end])
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         if spared:
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+            firsts = [a for a, _ in spared]
+            # the space at the end of a phrase is the one before the next word
+            best = {s: w for s, w in best.items() if (i := bisect.bisect_right(firsts, s) - 1) < 0 or s >= spared[i][1]}
         total = sum(best.values())
         return math.log1p(total), total / math.sqrt(plain.count(" ") or 1)
 
@@ -119,11 +132,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * x + b * y + c))))
 
 
+def _few_rows(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Slices whose words a worker holds at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def learnt_weights(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
     """Log odds of the entries that toxic rows of sample (text, label) have much more often."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few_rows(batches):
             entry, label = [], []
             for text, y in zip(batch.column(0), batch.column(1), strict=True):
                 found = candidates(text.as_py())
@@ -156,32 +176,62 @@ def fit_curve(points: np.ndarray, labels: np.ndarray) -> tuple[float, float, flo
     return float(w[0]), float(w[1]), float(w[2])
 
 
+def learnt_exceptions(sample: DataFrame, lexicon: Lexicon, phrases: int = PHRASES) -> tuple[str, ...]:
+    """Two words, one of which matches an entry, that LEAST_DOCS clean rows of sample have and no toxic one."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, known = lexicon.built(), {}
+        for batch in _few_rows(batches):
+            phrase, label = [], []
+            if len(known) > 200_000:
+                known.clear()
+            for text, y in zip(batch.column(0), batch.column(1), strict=True):
+                words = folded(text.as_py()).split()
+                for w in set(words):
+                    if w not in known:
+                        known[w] = next(automaton.iter(f" {w} "), None) is not None
+                at = [i for i, w in enumerate(words) if known[w]]
+                found = {" ".join(words[j : j + 2]) for i in at for j in (i - 1, i) if 0 <= j < len(words) - 1}
+                phrase += found
+                label += [y.as_py()] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.string()), pa.array(label, pa.int32())], names=["phrase", "label"])
+
+    counts = sample.select("text", "label").mapInArrow(split, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
+    rows = counts.where((F.col("toxic") == 0) & (F.col("n") >= LEAST_DOCS)).orderBy(F.desc("n"), "phrase").limit(phrases).collect()
+    return tuple(r.phrase for r in rows)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    sample = labelled_sample(docs, labels, label, limit)
-    lexicon = Lexicon(learnt_weights(sample), exceptions)
+    """A lexicon of the labelled sample. Without labelled rows, or with clean ones only, it has no entries. Rows without id or
+    label teach nothing. Other columns are not read."""
+    sample = cut(labelled_sample(docs, labels, label, limit).select("text", "label"), "sample")
+    plain = Lexicon(learnt_weights(sample), ())
+    lexicon = Lexicon(plain.weights, (*exceptions, *(learnt_exceptions(sample, plain) if plain.weights else ())))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [lexicon.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([b[0] for b in both], pa.float64()), pa.array([b[1] for b in both], pa.float64()), batch.column(1)], names=["x", "y", "label"])
 
-    points = sample.select("text", "label").mapInArrow(weigh, "x double, y double, label int").collect()  # limit rows
+    points = sample.mapInArrow(weigh, "x double, y double, label int").collect()  # limit rows
+    drop_table(sample)
     points = sorted((p.x, p.y, p.label) for p in points)
     lexicon.curve = fit_curve(np.array([p[:2] for p in points]).reshape(-1, 2), np.array([p[2] for p in points], dtype=float))
     return lexicon
 
 
+def _scorer(docs: DataFrame, lexicon: Lexicon):
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # ENTRIES strings, and PHRASES of exceptions, at most
+    return lambda: shared.value.score
+
+
 def with_scores(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFrame:
-    """docs with score (0 to 1) and predicted (score >= least). Null and empty texts match nothing."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # ENTRIES strings at most
-    names = docs.columns
+    """docs with score (0 to 1) and predicted (score >= least), in the place of columns with these names. Null and empty
+    texts match nothing. Rows are scored one by one: ids may be null or repeat."""
+    return with_score_columns(docs, _scorer(docs, lexicon), least)
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared.value
-        for batch in batches:
-            scores = [lexicon.score(t.as_py()) for t in batch.column(batch.schema.get_field_index("__text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], names=[*names, "__score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rated = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(rate, f"{fields}, __score double")
-    return rated.select(*names, F.col("__score").alias("score"), (F.col("__score") >= least).cast("int").alias("predicted"))
+def harmless_ones(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFrame:
+    """The rows of docs that score below least."""
+    found, name = rated(docs, _scorer(docs, lexicon))
+    return found.where(F.col(name) < least).select(*docs.columns)
