@@ -247,3 +247,9 @@ def detector_runtimes(spark: SparkSession, policy: Policy, runtimes: list[str])
     joined = wanted.join(F.broadcast(have), "detector_id", "left").withColumn("configured", F.coalesce("configured", F.lit(False)))
     code = F.when(F.col("configured"), "RUN").when(F.col("required"), "REQUIRED_DETECTOR_UNAVAILABLE").otherwise("MODEL_RUNTIME_NOT_CONFIGURED")
     return joined.withColumn("outcome", code).orderBy(F.desc("priority"), "place")
+
+
+def detector_order(spark: SparkSession, policy: Policy) -> DataFrame:
+    """place, detector_id, priority: the order in which detectors run, highest priority first, else as the policy has them."""
+    rows = [(i, d.id, d.priority) for i, d in enumerate(sorted(policy.detectors, key=lambda d: -d.priority))]  # a policy's few
+    return spark.createDataFrame(rows, "place int, detector_id string, priority int")

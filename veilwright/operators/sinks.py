@@ -24,6 +24,32 @@ def rendered(verified: DataFrame) -> DataFrame:
     return exportable(verified).select("doc_id", "redacted")
 
 
+def export_gate(verified: DataFrame, sources: DataFrame, taken: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """verified (key, text, ...) with export_error, null where the output may be written: SOURCE_CHANGED (sources (key, text) have
+    another text now, or none), OUTPUT_EXISTS (keys of taken), UNREVIEWED_FINDINGS, the error of redaction, RESIDUALS_REMAIN. The first counts."""
+    checked = source_unchanged(verified.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), sources, key).drop("sha256")
+    there = (taken.select(key).distinct() if taken is not None else verified.select(key).limit(0)).withColumn("there", F.lit(True))
+    error = (
+        F.when(~F.col("unchanged"), "SOURCE_CHANGED")
+        .when(F.col("there"), "OUTPUT_EXISTS")
+        .when(F.col("unreviewed_findings") > 0, "UNREVIEWED_FINDINGS")
+        .when(F.col("error_code").isNotNull(), F.col("error_code"))
+        .when(F.col("residual_count") > 0, "RESIDUALS_REMAIN")
+    )
+    return checked.join(there, key, "left").withColumn("export_error", error).drop("unchanged", "there")
+
+
+def export_batch(gated: DataFrame, path: str) -> DataFrame:
+    """Writes what the gate lets through into a new folder; a document that fails stops no other. The outcome of each: doc_id, exported, export_error."""
+    gated.where("export_error IS NULL").select("doc_id", "redacted", "output_sha256").write.mode("errorifexists").json(f"{path}/redacted")
+    return gated.select("doc_id", F.col("export_error").isNull().alias("exported"), "export_error")
+
+
+def copy_back(gated: DataFrame) -> DataFrame:
+    """Texts that may go to a clipboard: those that the gate lets through."""
+    return gated.where("export_error IS NULL").select("doc_id", "redacted")
+
+
 def export_texts(verified: DataFrame, path: str) -> None:
     """Writes what passed into a new folder; one that exists is an error. What didn't pass goes beside it with its reasons, without text."""
     exportable(verified).select("doc_id", "redacted", "output_sha256").write.mode("errorifexists").json(f"{path}/redacted")

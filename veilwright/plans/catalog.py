@@ -1317,8 +1317,8 @@ def p11_mask_projection(spark, sf_dir):
     return ocr.mask_projection(ocr.scan_pages(lines, pages, Policy())).select("page_id", "group_id", "finding_id", "entity_type", "mask_rect.*", "selected", "reviewed")
 
 
-def made_packages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """One small package for each synthetic text: its first signs in one run, the others in another."""
+def made_packages(spark: SparkSession, sf_dir: str, kind: str, picture: bytes = b"png") -> DataFrame:
+    """One small package for each synthetic text: its first signs in one run, the others in another, and a picture."""
     import io
     import zipfile
     from xml.sax.saxutils import escape
@@ -1346,7 +1346,7 @@ def made_packages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
                     z.writestr("_rels/.rels", "<Relationships/>")
                     for name, data in entries(text.as_py()).items():
                         z.writestr(name, data)
-                    z.writestr(f"{ROOTS[kind]}/media/image1.png", b"png")
+                    z.writestr(f"{ROOTS[kind]}/media/image1.png", picture)
                 made.append(out.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([kind] * batch.num_rows), pa.array(made, pa.binary())], names=["doc_id", "format", "content"])
 
@@ -1389,9 +1389,27 @@ def k04_redacted_packages(spark, sf_dir):
     """Packages scanned, rewritten and read again: how many findings each had and has."""
     from ..sources import packages
 
-    made = made_packages(spark, sf_dir, "docx")
+    made = made_packages(spark, sf_dir, "docx", small_picture())
     found = detect.exploded(redact.scan(packages.package_parts(made), Policy()), keys=("doc_id", "locator"))
-    out = packages.redact_packages(made, found.where("selected"))
+    out = packages.redact_packages(made, found.where("selected"), masked_images(made))
     again = packages.package_parts(out.where("error_code IS NULL").select("doc_id", "format", F.col("redacted").alias("content")))
     left = redact.scan(again, Policy()).groupBy("doc_id").agg(F.sum(F.size("findings")).alias("left"))
     return out.select("doc_id", "error_code", "metadata_scrubbed").join(left, "doc_id", "left").withColumn("left", F.coalesce("left", F.lit(-1)))
+
+
+def small_picture() -> bytes:
+    import numpy as np
+
+    from ..sources import rasters
+
+    return rasters.encode(np.full((12, 16, 3), 255, np.uint8))
+
+
+def masked_images(made: DataFrame) -> DataFrame:
+    """The pictures of packages with a box painted: doc_id, entry_name, redacted."""
+    from ..sources import packages, rasters
+
+    pictures = packages.embedded_images(made)
+    box = {"x0": F.lit(2), "y0": F.lit(3), "x1": F.lit(9), "y1": F.lit(8)}
+    done = rasters.mask_pictures(pictures, pictures.select("path").withColumns(box))
+    return done.join(pictures.select("path", "doc_id", "entry_name"), "path")

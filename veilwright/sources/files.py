@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,17 @@ def parse_pdfinfo(output: Column) -> Column:
     return F.map_from_entries(first)
 
 
-def safe_pdf_structure(content: bytes, allowed: frozenset[str], forbidden: frozenset[str]) -> bool:
+#: Names that a PDF of pictures may and may not hold.
+PDF_ALLOWED = frozenset(
+    ("BitsPerComponent", "Catalog", "ColorSpace", "Contents", "Count", "DCTDecode", "DeviceRGB", "Filter", "Height", "Image", "Im0", "Interpolate", "Kids")
+    + ("Length", "MediaBox", "Page", "Pages", "Parent", "Resources", "Root", "Size", "Subtype", "Type", "Width", "XObject")
+)
+PDF_FORBIDDEN = frozenset(
+    ("AA", "AcroForm", "Annots", "EmbeddedFiles", "Encrypt", "Filespec", "Info", "JavaScript", "JS", "Metadata", "Names", "ObjStm", "OCProperties", "OpenAction", "RichMedia", "Sig", "XFA")
+)
+
+
+def safe_pdf_structure(content: bytes, allowed: frozenset[str] = PDF_ALLOWED, forbidden: frozenset[str] = PDF_FORBIDDEN) -> bool:
     """Whether a PDF consists of pictures of pages only: known names, JPEG streams and streams that draw one picture."""
     import re
 
@@ -127,6 +138,16 @@ def safe_pdf_structure(content: bytes, allowed: frozenset[str], forbidden: froze
     return content.startswith(b"%PDF-") and names <= allowed and not names & forbidden
 
 
+def safe_structures(files: DataFrame, key: str = "path") -> DataFrame:
+    """key, safe: whether a PDF (content) consists of pictures of pages only."""
+
+    @F.pandas_udf("boolean")
+    def safe(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: c is not None and safe_pdf_structure(c))
+
+    return files.select(key, safe("content").alias("safe"))
+
+
 def registered(items: DataFrame, most: int = 200) -> DataFrame:
     """items (seq from 1, path, size_bytes), the first most of them: kind, whether each can be scanned and why not; later copies of a path are duplicates."""
     from pyspark.sql import Window

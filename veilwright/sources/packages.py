@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.parsers import expat
 from xml.sax.saxutils import escape, quoteattr, unescape
@@ -409,12 +410,64 @@ def scrubbed(name: str, data: bytes) -> bytes:
     return xml.encode("utf-8")
 
 
-def metadata_scrubbed(content: bytes) -> bool:
-    """Whether scrubbing the package once more would change nothing, with no dropped entries or comments left."""
+def _entry_faults(name: str, data: bytes) -> set[str]:
+    """What an entry still tells, read by a parser and not by the rules that scrub."""
+    faults, path, texts = set(), [], []
+
+    def opened(tag: str, attributes: dict[str, str]) -> None:
+        local = tag.rpartition(":")[2]
+        path.append(local)
+        texts.append("")
+        if name.endswith(".rels") and local == "Relationship":
+            target, outside = attributes.get("Target", ""), attributes.get("TargetMode") == "External"
+            if outside and target != "about:blank":
+                faults.add("EXTERNAL_TARGET")
+            if not outside and DROPPED.search(target.lstrip("/").removeprefix("../")):
+                faults.add("RELATION_TO_DROPPED_ENTRY")
+        elif name == "[Content_Types].xml":
+            if local == "Override" and DROPPED.fullmatch(attributes.get("PartName", "").lstrip("/")):
+                faults.add("TYPE_OF_DROPPED_ENTRY")
+        elif not name.startswith("docProps/"):
+            for key, value in attributes.items():
+                plain = key.rpartition(":")[2]
+                if plain in ("author", "initials") and value != AUTHOR:
+                    faults.add("AUTHOR")
+                elif plain in ("date", "dt") and value != EPOCH:
+                    faults.add("DATE")
+                elif plain.startswith("rsid") and key != plain:
+                    faults.add("REVISION_ID")
+            if local == "docVars":
+                faults.add("DOCUMENT_VARIABLES")
+
+    def text(value: str) -> None:
+        if texts:
+            texts[-1] += value
+
+    def closed(tag: str) -> None:
+        local, own = path.pop(), texts.pop()
+        if name == "docProps/core.xml" and own.strip():
+            faults.add("CORE_PROPERTY")
+        if name == "docProps/app.xml" and own.strip() and BLANK_PROPERTIES & {local, *path}:
+            faults.add("APP_PROPERTY")
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = opened, closed, text
+    parser.Parse(data, True)
+    return faults
+
+
+def metadata_faults(content: bytes) -> list[str]:
+    """Codes of what a package still tells about who wrote it when and where; empty if nothing."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        if z.comment or any(e.comment or DROPPED.fullmatch(e.filename) for e in z.infolist()):
-            return False
-        return all(scrubbed(n, z.read(n)) == z.read(n) for n in z.namelist())
+        faults = {"ARCHIVE_COMMENT"} if z.comment else set()
+        for e in z.infolist():
+            if e.comment:
+                faults.add("ENTRY_COMMENT")
+            if DROPPED.fullmatch(e.filename):
+                faults.add("DROPPED_ENTRY")
+            elif e.filename.endswith((".xml", ".rels")):
+                faults |= _entry_faults(e.filename, z.read(e))
+    return sorted(faults)
 
 
 def _sheet_rewritten(data: bytes, name: str, edits: dict[str, str], areas: dict[str, str]) -> bytes:
@@ -434,8 +487,10 @@ def _sheet_rewritten(data: bytes, name: str, edits: dict[str, str], areas: dict[
     return xml.encode("utf-8")
 
 
-def redacted_package(content: bytes, kind: str, findings: list[dict]) -> bytes:
-    """The package with selected findings (locator, start, end, replacement) applied and metadata scrubbed."""
+def redacted_package(content: bytes, kind: str, findings: list[dict], images: dict[str, bytes] | None = None) -> bytes:
+    """The package with selected findings (locator, start, end, replacement) applied and metadata scrubbed. images are the masked
+    pictures by entry; a picture without one holds the package back."""
+    images = images or {}
     by: dict[str, list[tuple[int, int, str]]] = {}
     for f in findings:
         by.setdefault(f["locator"], []).append((f["start"], f["end"], f["replacement"]))
@@ -453,6 +508,10 @@ def redacted_package(content: bytes, kind: str, findings: list[dict]) -> bytes:
             if entry.is_dir() or DROPPED.fullmatch(entry.filename):
                 continue
             name, data = entry.filename, z.read(entry)
+            if name.startswith(f"{ROOTS[kind]}/media/"):
+                if name not in images:
+                    raise InvalidPackage("EMBEDDED_IMAGE_NOT_MASKED")
+                data = images[name]
             own = {at: spans for at, spans in by.items() if at.split("#")[0] == name}
             if name in grouping and own:
                 data = rewrite_story(data, name, own, grouping[name], TEXT_ELEMENTS[kind])
@@ -508,25 +567,52 @@ def _workbook_entry(name: str, data: bytes, own: dict, new: dict[str, str], live
     return xml.encode("utf-8")
 
 
-def redact_packages(packages: DataFrame, findings: DataFrame) -> DataFrame:
+#: What reading a damaged package raises.
+FAULTS = (ValueError, KeyError, zipfile.BadZipFile, expat.ExpatError, zlib.error, EOFError, NotImplementedError)
+
+
+def redact_packages(packages: DataFrame, findings: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """packages (doc_id, format, content) with redacted (null on error), error_code and metadata_scrubbed.
-    findings: rows (doc_id, locator, start, end, replacement) that are selected."""
+    findings: rows (doc_id, locator, start, end, replacement) that are selected; images: rows (doc_id, entry_name, redacted)
+    of masked pictures. A package with a picture that has no masked one, or with metadata left, is an error."""
     grouped = findings.groupBy("doc_id").agg(F.collect_list(F.struct("locator", "start", "end", "replacement")).alias("spans"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, error, clean = [], [], []
-            for kind, content, spans in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for kind, content, spans, pictures in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
                 try:
-                    out.append(redacted_package(content, kind, spans or []))
+                    made = redacted_package(content, kind, spans or [], {p["entry_name"]: p["redacted"] for p in pictures or []})
+                    if metadata_faults(made):
+                        raise InvalidPackage("METADATA_REMAINS")
+                    out.append(made)
                     error.append(None)
-                    clean.append(metadata_scrubbed(out[-1]))
-                except Exception as e:
+                    clean.append(True)
+                except FAULTS as e:
                     out.append(None)
-                    error.append(str(e) if isinstance(e, InvalidPackage) and str(e).isupper() else "INVALID_PACKAGE")
+                    error.append(str(e) if isinstance(e, InvalidPackage) and str(e).isupper() and " " not in str(e) else "INVALID_PACKAGE")
                     clean.append(False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.array(error, pa.string()), pa.array(clean, pa.bool_())], names=["doc_id", "format", "redacted", "error_code", "metadata_scrubbed"])
 
     kind = packages.schema["doc_id"].dataType.simpleString()
-    joined = packages.join(grouped, "doc_id", "left").select("doc_id", "format", "content", "spans")
+    none = packages.select("doc_id", F.lit("").alias("entry_name"), F.lit(b"").alias("redacted")).limit(0)
+    pictures = (none if images is None else images.where("redacted IS NOT NULL")).groupBy("doc_id").agg(F.collect_list(F.struct("entry_name", "redacted")).alias("pictures"))
+    joined = packages.join(grouped, "doc_id", "left").join(pictures, "doc_id", "left").select("doc_id", "format", "content", "spans", "pictures")
     return joined.mapInArrow(each, f"doc_id {kind}, format string, redacted binary, error_code string, metadata_scrubbed boolean")
+
+
+def verified_packages(packages: DataFrame, policy, images: DataFrame | None = None) -> DataFrame:
+    """The whole workflow over packages (doc_id, format, content): parts are scanned, the package is rewritten, and what was
+    written is read and scanned again. doc_id, format, error_code, residual_count, redacted: null unless nothing is left."""
+    from ..operators import detect, redact
+
+    found = detect.exploded(redact.scan(package_parts(packages), policy), keys=("doc_id", "locator")).where("selected")
+    made = redact_packages(packages, found, images)
+    again = package_parts(made.where("error_code IS NULL").select("doc_id", "format", F.col("redacted").alias("content")))
+    values = found.select("doc_id", "matched_text").distinct().groupBy("doc_id").agg(F.collect_set("matched_text").alias("values"))
+    checked = redact.scan(again, policy).join(values, "doc_id", "left")
+    held = F.size(F.filter(F.coalesce("values", F.array().cast("array<string>")), lambda v: F.contains("text", v)))
+    left = checked.groupBy("doc_id").agg(F.sum(F.size("findings") + held).alias("left"))
+    joined = made.join(left, "doc_id", "left").withColumn("residual_count", F.coalesce("left", F.lit(0)))
+    error = F.coalesce("error_code", F.when(F.col("residual_count") > 0, "RESIDUALS_REMAIN"))
+    return joined.select("doc_id", "format", error.alias("error_code"), "residual_count", F.when(error.isNull(), F.col("redacted")).alias("redacted"))
