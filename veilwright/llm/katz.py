@@ -34,7 +34,7 @@ from .minhash import mixed
 ORDER = 3
 #: Counts up to which Good-Turing discounts apply.
 GOOD_TURING = 5
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 1_250_000
 #: Words, and n-grams, that one bucket adds up, about.
 BUCKET_WORDS, BUCKET_GRAMS = 500_000, 700_000
 #: Occurrences of a context from which its followers are dealt to several buckets.
@@ -47,6 +47,18 @@ _UNSEEN, _START, _FIRST = 0, 1, 2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.lru_cache(1)
+def _trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Workers live on between tasks: memory that arrays have left goes back to the system, where its library can do that."""
+    _trim()(0)
+
+
 @functools.lru_cache(1)
 def _zstd():
     import zstandard
@@ -207,6 +219,7 @@ def encoded(docs: DataFrame, key: str = "doc_id", learn: bool = True) -> DataFra
                 size += len(hashes) + 1
                 if size >= BATCH_TOKENS:
                     yield done()
+                    give_back()
                     n, ids, held, texts, size = n + 1, [], [], [], 0
         if texts:
             yield done()
@@ -384,15 +397,19 @@ class Batch:
             self.grams.append(self.distinct())
             self.take_answers(order, sorted(row.pop(f"answers{order}"), key=lambda a: a["bucket"]))
 
-    def below(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Counts of the n-grams of the highest order so far, and the numbers of their words from the last to the first."""
-        counts, words = self.counts, [self.words]
+    def below(self) -> np.ndarray:
+        """Counts of the n-grams of the highest order so far."""
+        return self.grams[-1].total if self.grams else self.counts
+
+    def words_below(self) -> list[np.ndarray]:
+        """Numbers of their words from the last to the first."""
+        words = [self.words]
         for g in self.grams:
-            counts, words = g.total, [self.words[g.word], *(w[g.context] for w in words)]
-        return counts, words
+            words = [self.words[g.word], *(w[g.context] for w in words)]
+        return words
 
     def distinct(self) -> Grams:
-        counts = self.grams[-1].total if self.grams else self.counts
+        counts = self.below()
         at = self.grams[-1].at if self.grams else self.tokens
         before = np.empty(len(self.tokens), np.int64)
         before[1:] = at[:-1]
@@ -410,9 +427,9 @@ class Batch:
     def requests(self, order: int, g: Grams):
         """Rows (bucket, context, part, n-gram or -1) in the order of sending: a context dealt to several buckets asks all of
         them for their sums."""
-        counts, words = self.below()
+        counts = self.below()
         hashes = np.zeros(len(counts), np.uint64)
-        for w in words:
+        for w in self.words_below():
             hashes = mixed(hashes ^ w.view(np.uint64) * _GOLDEN) + np.uint64(1)
         parts = 1 + counts // SPLIT
         context, gram, part = g.context, np.arange(len(g.context), dtype=np.int32), np.zeros(len(g.context), np.int32)
@@ -429,15 +446,15 @@ class Batch:
             context, gram, part = np.concatenate([context[rest], more[by]]), np.concatenate([rest, rows[by]]), np.concatenate([part[rest], own[by]])
         bucket = spread(hashes[context] + part.astype(np.uint64) * _GOLDEN, self.known.buckets[order - 1])
         by = _by_bucket(bucket)
-        return bucket[by].astype(np.int32), context[by], part[by], gram[by], words, parts
+        return bucket[by].astype(np.int32), context[by], part[by], gram[by], parts
 
     def asked(self, order: int) -> list[pa.RecordBatch]:
         """Bodies: of each context its part and words, and how many rows follow; of each row its word, the times it was
         learnt and the count of the n-gram without its first word."""
         g = self.distinct()
         times = np.bincount(g.at[self.learnt & (g.at >= 0)], minlength=len(g.context))
-        bucket, context, part, gram, words, _ = self.requests(order, g)
-        lower = (self.grams[-1].total if self.grams else self.counts)[g.suffix]
+        bucket, context, part, gram, _ = self.requests(order, g)
+        lower, words = self.below()[g.suffix], self.words_below()
         real = gram >= 0
         word, times, low = (np.where(real, x[gram], none) for x, none in ((self.words[g.word], _START), (times, 0), (lower, 0)))
         starts, rows = _runs(bucket), []
@@ -450,8 +467,8 @@ class Batch:
     def take_answers(self, order: int, answers: list[dict]) -> None:
         """Fills in counts, probabilities and what the order above needs of the last of grams."""
         g = self.grams.pop()
-        bucket, context, part, gram, _, parts = self.requests(order, g)
-        counts, _ = self.below()
+        bucket, context, part, gram, parts = self.requests(order, g)
+        counts = self.below()
         g.total = np.zeros(len(g.context), np.int64)
         real = gram >= 0
         bodies = [unpack(answers.pop(0)["body"]) for _ in range(len(answers))]
@@ -472,7 +489,7 @@ class Batch:
         taken[head[~told]] = d[1]
         taken = taken / c
         single = np.bincount(head[split | missing], np.concatenate([b[2].view(np.float64) for b in bodies]) if bodies else None, n)
-        del bodies, tallies, total, bucket, context, part, gram, real
+        del bodies, tallies, total, bucket, context, part, gram, real, parts
         left = np.where(taken > 0, np.maximum(1 - taken, 1 / (c + 1)), 1.0)
         scale = np.where(taken > 0, (1 - left) / np.maximum(taken, 1e-300), 0.0) / c
         if order == 2:
@@ -499,6 +516,7 @@ def _send_grams(order: int, known: Known, learn: bool):
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from Batch(batch.slice(i, 1).to_pylist()[0], known, learn).asked(order)
+                give_back()
 
     return send
 
@@ -551,6 +569,7 @@ def _add_grams(order: int, known: Known):
                 told = split | (whole[own] != 1)
                 rows.append(_row("answer", bucket, number, pack(counts, np.concatenate([s[own[told]] for s in sums]), single[own[split | missing]])))
             row_from, head_from = row_from + size, head_from + heads
+        give_back()
         return _table(_ROW, rows)
 
     return add
@@ -571,6 +590,7 @@ def _score(known: Known):
                 add = lambda x, starts=starts: np.add.reduceat(x, starts)
                 columns = [own.ids, own.held, own.lengths, add((own.counts[own.tokens] > 0).astype(np.int64)), add(one[own.tokens]), add(logs)]
                 del own, logs  # before the next one is opened
+                give_back()
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _SCORES, strict=True)], schema=_SCORES)
 
     return score
