@@ -39,6 +39,28 @@ def test_arc_versions(version, pack):
         list(archives.read_arc(data[:-6]))
 
 
+def test_damaged_archives_are_rows(spark, tmp_path):
+    records = [archives.arc_record(f"http://h/{i}", "1.2.3.4", "20200102030405", "text/html", f"HTTP/1.1 200 OK\r\nX: {i}\r\n\r\nbody {i}".encode(), 1) for i in range(3)]
+    whole = archives.arc_head("f", "20200101000000", 1) + b"".join(records)
+    given = [whole, whole[:-9], b"\x28\xb5\x2f\xfdxx", b"no archive at all\n"]
+    df = spark.createDataFrame([(bytearray(x),) for x in given], "content binary")
+    rows = archives.arc_records(df).collect()
+    assert sum(r.error is None for r in rows) == 5 and sum(r.error is not None for r in rows) == 3
+    errors = archives.convert(df, f"file://{tmp_path}/warc")
+    assert errors.count() == 3
+    index = archives.warc_index(archives.read_archives(spark, f"file://{tmp_path}/warc")).collect()
+    assert len(index) == 5 and all(r.error is None for r in index)
+    good = archives.warc_record(next(archives.read_arc(whole)))
+    bad = spark.createDataFrame([(bytearray(good),), (bytearray(good.replace(b"body 0", b"body X")),), (bytearray(good[:-12]),)], "content binary")
+    assert [r.error is None for r in archives.warc_index(bad.coalesce(1)).collect()] == [True, False, False]
+
+
+def test_archives_with_null_keys_and_repeated_rows(spark):
+    rows = [(None, "u", "<p>x</p>"), (1, None, "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u", "<p>x</p>")]
+    got = [(r.page_id, r.record_type, r.refers_to) for r in archives.pages_through_warc(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == 4 and got.count((1, "response", None)) == 2 and (2, "revisit", 1) in got and (None, "revisit", 1) in got
+
+
 @given(st.text(alphabet="ab é\n'.1🙂", max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_ids_equal_the_tokenizer(text):

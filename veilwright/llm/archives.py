@@ -45,6 +45,10 @@ class ArcRecord:
     content: bytes
 
 
+#: What may lie between records.
+_GAP = re.compile(rb"[\r\n\x00]*")
+
+
 def compressed(data: bytes, level: int = 3) -> bytes:
     import zstandard
 
@@ -54,7 +58,14 @@ def compressed(data: bytes, level: int = 3) -> bytes:
 def plain(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompressobj().decompress(data)
+    reader = zstandard.ZstdDecompressor().decompressobj()
+    try:
+        found = reader.decompress(data)
+    except zstandard.ZstdError as e:
+        raise ValueError(str(e)) from e
+    if not reader.eof:
+        raise ValueError("a compressed member is cut short")
+    return found
 
 
 def members(data: bytes) -> Iterator[bytes]:
@@ -68,6 +79,8 @@ def members(data: bytes) -> Iterator[bytes]:
     while data.rstrip(b"\x00"):
         reader = zlib.decompressobj(31)
         yield reader.decompress(data) + reader.flush()
+        if not reader.eof:
+            raise ValueError("a compressed member is cut short")
         data = reader.unused_data
 
 
@@ -161,7 +174,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields in lower case, block) of each record."""
     for part in members(data):
         at = 0
-        while part[at:].strip(b"\r\n\x00"):
+        while (at := _GAP.match(part, at).end()) < len(part):
             end = part.find(b"\r\n\r\n", at)
             first, *lines = part[at:end].decode("utf-8", "replace").split("\r\n")
             if end < 0 or not first.startswith("WARC/"):
@@ -172,9 +185,7 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             if len(block) < length:
                 raise ValueError(f"a record at byte {at} declares {length} bytes and has {len(block)}")
             yield head, block
-            at = end + 4 + length + 4
-            if at >= len(part):
-                break
+            at = end + 4 + length
 
 
 def write_archives(archives: DataFrame, path: str) -> None:
@@ -215,22 +226,36 @@ def pages_to_arc(pages: DataFrame, version_of=lambda n: 1 + n % 2, date: str = "
     return pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("binary")).mapInArrow(build, "content binary")
 
 
-_CONVERTED = "page_id long, url string, ip string, date string, content_type string, http binary, record_id string, payload_bytes long, payload_digest string"
+_CONVERTED = "page_id long, url string, ip string, date string, content_type string, http binary, record_id string, payload_bytes long, payload_digest string, error string"
+#: What reading a damaged archive raises.
+_FAULTS = (ValueError, KeyError, EOFError, zlib.error)
+
+
+def _until_damaged(read, data: bytes) -> Iterator:
+    """What read yields, and the message of a fault that ends it."""
+    try:
+        yield from read(data)
+    except _FAULTS as e:
+        yield f"{type(e).__name__}: {e}"
 
 
 def arc_records(archives: DataFrame) -> DataFrame:
-    """One row per ARC record, with what its WARC record will be made from; http is compressed, as it is shuffled."""
+    """One row per ARC record, with what its WARC record will be made from; http is compressed, as it is shuffled. Where an
+    archive is damaged, its records before the damage are rows, and one row has nothing but the error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), *((x, pa.string()) for x in ("url", "ip", "date", "content_type")), ("http", pa.binary()), ("record_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+        schema = pa.schema([("page_id", pa.int64()), *((x, pa.string()) for x in ("url", "ip", "date", "content_type")), ("http", pa.binary()), ("record_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("error", pa.string())])
         for batch in batches:
             for archive in batch.column(0):
                 rows: list[tuple] = []
                 size = 0
-                for r in read_arc(archive.as_py()):
+                for r in _until_damaged(read_arc, archive.as_py()):
+                    if isinstance(r, str):
+                        rows.append((*[None] * 9, r))
+                        continue
                     head, payload = payload_of(r.content)
                     page = re.search(rf"(?mi)^{HTTP_ID}: (-?\d+)\r?$", head.decode("utf-8", "replace"))
-                    rows.append((int(page[1]) if page else None, r.url, r.ip, r.date, r.content_type, compressed(r.content, 1), record_id(r), len(payload), digest(payload)))
+                    rows.append((int(page[1]) if page else None, r.url, r.ip, r.date, r.content_type, compressed(r.content, 1), record_id(r), len(payload), digest(payload), None))
                     size += len(r.content)
                     if size >= ARCHIVE_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -261,25 +286,33 @@ def warc_archives(records: DataFrame, first_of: DataFrame) -> DataFrame:
 
 
 def warc_index(archives: DataFrame) -> DataFrame:
-    """One row per WARC record: page_id, record_id, record_type, payload_bytes, payload_digest, refers_id."""
+    """One row per WARC record: page_id, record_id, record_type, payload_bytes, payload_digest, refers_id, error. The digest of
+    the payload is made again, that of the block where a record holds no payload: where it differs, and where an archive is
+    damaged, the row has an error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
                 rows = []
-                for head, block in read_warc(archive.as_py()):
+                for found in _until_damaged(read_warc, archive.as_py()):
+                    if isinstance(found, str):
+                        rows.append((*[None] * 6, found))
+                        continue
+                    head, block = found
                     http, payload = payload_of(block)
                     page = re.search(rb"(?mi)^X-Page-Id: (-?\d+)\r?$", http)
                     declared = re.search(rb"(?mi)^Content-Length: (\d+)\r?$", http)
-                    if "sha1:" + digest(block) != head["warc-block-digest"]:
-                        raise ValueError(f"block digest of {head['warc-record-id']}")
-                    size = int(declared[1]) if head["warc-type"] == "revisit" and declared else len(payload)
-                    rows.append((int(page[1]) if page else None, head["warc-record-id"].strip("<>"), head["warc-type"], size, head["warc-payload-digest"].removeprefix("sha1:"), head.get("warc-refers-to", "").strip("<>") or None))
+                    revisit = head.get("warc-type") == "revisit"
+                    error = None
+                    if "sha1:" + digest(block if revisit else payload) != head.get("warc-block-digest" if revisit else "warc-payload-digest"):
+                        error = f"digest of {head.get('warc-record-id')}"
+                    size = int(declared[1]) if revisit and declared else len(payload)
+                    rows.append((int(page[1]) if page else None, head.get("warc-record-id", "").strip("<>"), head.get("warc-type"), size, head.get("warc-payload-digest", "").removeprefix("sha1:"), head.get("warc-refers-to", "").strip("<>") or None, error))
                 if rows:
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_id"])
+                    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "record_id", "record_type", "payload_bytes", "payload_digest", "refers_id", "error"])
 
-    return archives.mapInArrow(parse, "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_id string")
+    return archives.mapInArrow(parse, "page_id long, record_id string, record_type string, payload_bytes long, payload_digest string, refers_id string, error string")
 
 
 def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -293,11 +326,13 @@ def revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     return large.join(first, same).where("record_id <> first.record_id").select("record_id", F.col("first.record_id").alias("refers_id"), F.col("first.url").alias("refers_url")).distinct()
 
 
-def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """ARC archives (content binary) to WARC files in the folder path."""
+def convert(archives: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
+    """ARC archives (content binary) to WARC files in the folder path. Returns the errors of damaged archives (error), whose
+    records before the damage are converted."""
     records = arc_records(archives)
-    narrow = cut(records.select("record_id", "url", "page_id", "payload_bytes", "payload_digest"), "arc-index")
-    write_archives(warc_archives(records, revisits(narrow, least_bytes)), path)
+    narrow = cut(records.select("record_id", "url", "page_id", "payload_bytes", "payload_digest", "error"), "arc-index")
+    write_archives(warc_archives(records.where("error IS NULL").drop("error"), revisits(narrow.where("error IS NULL"), least_bytes)), path)
+    return narrow.where("error IS NOT NULL").select("error")
 
 
 def pages_through_warc(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -311,5 +346,7 @@ def pages_through_warc(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     write_archives(pages_to_arc(pages), arc)
     convert(read_archives(spark, arc), warc, least_bytes)
     index = cut(warc_index(read_archives(spark, warc)), "warc-index")
+    if not index.where("error IS NOT NULL").isEmpty():  # what was written just now
+        raise ValueError(f"{warc} is damaged")
     targets = index.where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("refers_id")).agg(F.min("page_id").alias("refers_to"))
     return index.join(targets, "refers_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
