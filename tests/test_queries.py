@@ -50,8 +50,8 @@ def test_terms_equal_their_sql_whatever_their_number(spark, tmp_path, others):
 
 
 def test_merged_logits_of_all_order_lines(spark, duck):
-    got = catalog.QUERIES["d17_merged_logits_whole"](spark, SF).toPandas()
-    assert rows(got) == rows(duck.execute(catalog.ORACLES["d17_merged_logits_whole"]).df())
+    got = catalog.QUERIES["d17_merged_logits"](spark, SF).toPandas()
+    assert rows(got) == rows(duck.execute(catalog.ORACLES["d17_merged_logits"]).df())
     assert len(got) == duck.execute("select count(distinct (l_orderkey % 1000, l_linenumber)) from lineitem").fetchone()[0]
 
 
@@ -60,7 +60,7 @@ def test_rendered_texts_are_all_that_pass(spark, duck):
     redacted = duck.execute(catalog._with(f"SELECT doc_id, redacted FROM ({catalog._REDACTED}) WHERE error_code IS NULL")).fetchall()
     texts = duck.execute(catalog._with("SELECT doc_id, text FROM p")).fetchall()
     assert len({i for i, _ in texts}) == len(texts)
-    got = {r.doc_id: r.redacted for r in catalog.QUERIES["k02_rendered_whole"](spark, SF).collect()}
+    got = {r.doc_id: r.redacted for r in catalog.QUERIES["k02_rendered"](spark, SF).collect()}
     again = spark.createDataFrame(redacted, "doc_id long, text string")
     left = {r.doc_id for r in detect.exploded(detect.detect_rules(again)).select("doc_id").distinct().collect()}
     assert got == {i: t for i, t in redacted if i not in left}

@@ -153,15 +153,9 @@ def d17_token_windows(spark, sf_dir):
     return models.token_windows(t, 4, 2)
 
 
-@query(_with("""SELECT doc_id, place, list_reduce(list(v ORDER BY w), lambda a, b: (a + b) / 2) AS value FROM (SELECT l_orderkey % 1000 AS doc_id, l_linenumber AS place, l_orderkey AS w, l_quantity AS v FROM p WHERE l_orderkey % 7 < 3) GROUP BY doc_id, place""", "SELECT * FROM {lineitem}"))
-def d17_merged_logits(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 < 3")
-    return models.merged_logits(l.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("place"), F.col("l_orderkey").alias("window"), F.col("l_quantity").alias("value")))
-
-
 @query(_with("""SELECT doc_id, place, list_reduce(list(v ORDER BY w), lambda a, b: (a + b) / 2) AS value FROM (SELECT l_orderkey % 1000 AS doc_id, l_linenumber AS place, l_orderkey AS w, l_quantity AS v FROM p) GROUP BY doc_id, place""", "SELECT * FROM {lineitem}"))
-def d17_merged_logits_whole(spark, sf_dir):
-    """All order lines; d17_merged_logits takes part of them, as its SQL does."""
+def d17_merged_logits(spark, sf_dir):
+    """Logits of all order lines, merged over windows."""
     l = table(spark, sf_dir, "lineitem")
     return models.merged_logits(l.select((F.col("l_orderkey") % 1000).alias("doc_id"), F.col("l_linenumber").alias("place"), F.col("l_orderkey").alias("window"), F.col("l_quantity").alias("value")))
 
@@ -1237,15 +1231,6 @@ def k08_output_names(spark, sf_dir):
     return desktop.output_names(o, taken)
 
 
-@query(_with(f"SELECT doc_id, redacted FROM ({_REDACTED}) WHERE error_code IS NULL AND doc_id >= 1000000000 AND doc_id % 8 = 4"))
-def k02_rendered(spark, sf_dir):
-    """Redacted texts behind their check: those of one kind of synthetic text, which all pass."""
-    from ..operators import sinks
-
-    verified = redact.redact_and_verify(parts(spark, sf_dir, ZH).where(F.col("doc_id") % 8 == 4), Policy())
-    return sinks.rendered(verified)
-
-
 #: Selected values that outputs still hold, and what the rules find in outputs; places count once.
 _VERIFIED = f"""SELECT o.doc_id, coalesce(n_left, 0) = 0 AS passed, false AS complete, error_code, coalesce(n, 0)::INT AS selected_findings, 0 AS unreviewed_findings, coalesce(n_targets, 0)::INT AS target_residual_count, coalesce(n_left, 0)::INT AS residual_count, sha256(o.text) AS output_sha256
     FROM o LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id) USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_left, count(*) FILTER (target) AS n_targets FROM (
@@ -1256,8 +1241,8 @@ _VERIFIED = f"""SELECT * FROM (WITH c AS ({core_sql("p")}), o AS (SELECT doc_id,
 
 
 @query(_with(f"SELECT v.doc_id, r.redacted FROM ({_VERIFIED}) v JOIN ({_REDACTED}) r USING (doc_id) WHERE passed AND v.error_code IS NULL"))
-def k02_rendered_whole(spark, sf_dir):
-    """All documents and synthetic texts behind their check, with those that it holds back; k02_rendered takes one kind, as its SQL does."""
+def k02_rendered(spark, sf_dir):
+    """All documents and synthetic texts behind their check, without those that it holds back."""
     from ..operators import sinks
 
     return sinks.rendered(redact.redact_and_verify(parts(spark, sf_dir), Policy()))
