@@ -94,6 +94,30 @@ def test_cloud_around_the_threshold(spark, size, edits, rows):
     assert got == expected
 
 
+@pytest.mark.parametrize("width, percent", [(3, 85), (5, 80)])
+def test_large_family_of_long_copies_is_not_compared_pair_by_pair(spark, monkeypatch, width, percent):
+    """Copies of 1000 words, many too far from the others to link, and a longer one that heads the lists."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(1000)]
+    texts = [" ".join(base + [f"x{j}" for j in range(300)]), " ".join(f"x{j}" for j in range(300))]
+    for _ in range(80):
+        edits = rng.uniform(0, 0.08)
+        texts.append(" ".join(f"e{rng.randrange(3000)}" if rng.random() < edits else w for w in base))
+    checked, similar = [], minhash._similar
+
+    def counted(pairs, *rest):
+        checked.append(pairs.count())
+        return similar(pairs, *rest)
+
+    monkeypatch.setattr(minhash, "_similar", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width, percent).collect()}
+    sets = [shingles(t, width) for t in texts]
+    expected = closure(range(len(texts)), lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]))
+    assert 10 < len(set(expected.values())) < len(texts) - 10
+    assert got == expected
+    assert sum(checked) <= 8 * len(texts), checked
+
+
 def test_null_and_repeated_keys(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, a), (None, a), (None, None), (2, a), (2, a), (3, b), (3, c), (4, b), (5, c), (6, None), (6, b)]

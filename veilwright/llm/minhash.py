@@ -9,8 +9,8 @@ pair, and the full shingle sets decide.
 
 Lists may be long. Each is first tied together through two of its members (the one with the commonest values, which
 is where copies come from, and another), so a group of n copies costs n checks. What a list holds outside the
-component of its first member is then compared with the rest of the list, as far as the values that both have from
-there on suffice for their sizes (positional filtering). No list is cut or dropped.
+component that most of its members are in is then compared with the rest of the list, as far as the values that both
+have from there on suffice for their sizes (positional filtering). No list is cut or dropped.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_table, words_of
+from .common import ARROW_BYTES, components, cut, drop_table, words_of
 
-#: Values of the short and of the long sketch.
-SKETCH, LONG_SKETCH = 64, 512
+#: Values of the short and of the long sketch. The long one holds the whole set of most documents, so bounds on pairs are exact.
+SKETCH, LONG_SKETCH = 64, 16384
 _CACHED_WORDS = 300_000
+#: Values that a Python worker hands back at once.
+_ENTRIES = 1 << 18
 
 
 class WordHashes(dict):
@@ -157,9 +159,11 @@ def long_entries(sets: DataFrame, k: int) -> DataFrame:
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(x.as_py(), np.int64)[:k] for x in batch.column(1)]
-            at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.concatenate(values) if values else np.empty(0, np.int64))], names=["id", "v"])
+            rows = max(1, _ENTRIES // k)
+            for part in (batch.slice(i, rows) for i in range(0, batch.num_rows, rows)):
+                values = [np.frombuffer(x.as_py(), np.int64)[:k] for x in part.column(1)]
+                at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.concatenate(values))], names=["id", "v"])
 
     return sets.select("id", "full").mapInArrow(least, f"id {kind}, v long")
 
@@ -195,7 +199,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     likely = cut(sharing(reps.select("id", F.explode("sketch").alias("v")), reps, percent, k).select("id"), "likely")
     sets = full_sets(docs.join(likely.select(F.col("id").alias(key)), key, "left_semi"), width, key)
     sets = cut(sets.join(reps.select("id", "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id"]).select("id", "full"), "sets")
-    listed = cut(sharing(long_entries(sets, LONG_SKETCH), reps, percent, LONG_SKETCH), "listed")
+    listed = cut(sharing(long_entries(sets, LONG_SKETCH), reps, percent, LONG_SKETCH), "listed", arrow_bytes=ARROW_BYTES)
     lists = inverted_lists(listed, percent, LONG_SKETCH)
     columns = ("id", "n", "least", "ahead")
     as_x, as_y = ([F.col(c).alias(to) for c, to in zip(columns, (z, f"n{z}", f"l{z}", f"a{z}"), strict=True)] for z in "xy")
@@ -212,11 +216,12 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     ties = ties.select("y", "ny", "ly", F.col("h.id").alias("x"), F.col("h.n").alias("nx"), F.col("h.least").alias("lx")).where("x <> y")
     ties = ties.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select(*ordered).distinct()
     links = cut(_similar(ties, reps, sets, percent, k).select("a", "b"), "links")
-    # what lists hold outside the component of their first member
+    # what lists hold outside the component of most of their members; their first one may be far from all others
     of = cut(components(links, listed.select("id")), "components")
-    placed = lists.join(of, "id").join(heads.select("v", F.col("p.id").alias("head")), "v").join(of.select(F.col("id").alias("head"), F.col("component_id").alias("main")), "head")
-    placed = placed.select("v", *columns, "strong", "reach", "component_id", (F.col("component_id") != F.col("main")).alias("out"))
-    placed = cut(placed.join(placed.where("out").select("v").distinct(), "v"), "placed")
+    placed = cut(lists.join(of, "id").join(heads.select("v"), "v").select("v", *columns, "strong", "reach", "component_id"), "placed")
+    parts = placed.groupBy("v", "component_id").agg(F.sum(F.col("strong").cast("long")).alias("s"), F.count("*").alias("c"))
+    main = parts.groupBy("v").agg(F.max_by("component_id", F.struct("s", "c", "component_id")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    placed = placed.join(main.select("v", "main"), "v").withColumn("out", F.col("component_id") != F.col("main"))
     strong, weak = placed.where("strong"), placed.where("NOT strong")
     lowest = F.floor((F.col("n") * percent + 99) / 100)
     weak = weak.where(F.col("reach") >= lowest).withColumn("ny", F.explode(F.sequence(lowest, F.col("reach")))).select("v", *as_x, F.col("component_id").alias("cx"), "out", "ny")
