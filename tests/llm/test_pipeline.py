@@ -1,7 +1,10 @@
 import zlib
 
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from veilwright.llm import packing
+from veilwright.llm import common, packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +33,15 @@ def test_near_dedup_with_null_and_repeated_ids(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
     expected = [(None, a), (None, a), (None, None), (1, a), (3, b), (4, c), (6, None), (6, None), (7, ""), (4, None), (9, "x y"), (9, "p q")]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
+
+
+def test_cut_bounds_what_a_task_holds(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.xxhash64("id").alias("k"), F.concat(*[F.sha2(F.concat("id", F.lit(f" {i}")), 512) for i in range(32)]).alias("x"))
+    with common.settings(spark, spark__sql__shuffle__partitions="64"):
+        found = common.cut(rows.groupBy("k").agg(F.max("x").alias("x")), "held")
+    assert found.count() == 20_000
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in found.inputFiles()]
+    assert len(files) > 7  # 80 MB, once in 4 parts
+    one = common.cut(rows.coalesce(1), "held")
+    (groups,) = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in one.inputFiles()]
+    assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 2 * common.ROW_GROUP_BYTES

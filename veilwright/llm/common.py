@@ -60,6 +60,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 #: Bytes of rows that go to a Python worker at once, where rows are packed arrays.
 ARROW_BYTES = 4 << 20
+#: Bytes of a row group of tables that cut() writes, rows that a task unpacks at once and shuffled bytes that it gets, about,
+#: while cut() runs: a heap of 1 GB has room for 8 tasks.
+ROW_GROUP_BYTES, READ_ROWS, PARTITION_BYTES = 8 << 20, 1024, 8 << 20
 
 
 @contextlib.contextmanager
@@ -81,8 +84,10 @@ def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = (), arrow_bytes:
     also after lost executors, and the shuffle files before it go."""
     path = shared_path(df.sparkSession, name)
     limit = {"spark__sql__execution__arrow__maxBytesPerBatch": f"{arrow_bytes}b"} if arrow_bytes else {}
+    limit |= {"spark__sql__parquet__columnarReaderBatchSize": str(READ_ROWS), "spark__sql__adaptive__advisoryPartitionSizeInBytes": f"{PARTITION_BYTES}b"}
     with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **limit):
-        df.write.partitionBy(*by).parquet(path)
+        # row groups are held whole by the tasks that write and read them
+        df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
