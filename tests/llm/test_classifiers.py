@@ -1,7 +1,10 @@
 import math
 import random
+import tracemalloc
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +50,33 @@ def test_training_and_scores_equal_plain_python():
         assert model.score(t, known) == pytest.approx(1 / (1 + math.exp(-sum(weights[i] * x for i, x in features.items()))), abs=1e-5)
 
 
+def test_training_holds_its_rows_packed(spark):
+    # numbers of the driver: what Python and Arrow hold at most, beside the tables of weights
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=5000)), i % 2) for i in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    docs.count()
+    known, chosen = quality.Words(), [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    examples = [(*np.unique(quality.ngram_places(text, known), return_counts=True), label) for _, text, label in sorted(chosen, key=lambda r: (r[0] * 0x9E3779B1 & 0xFFFFFFFF, r[0]))]
+    packed = sum(8 * len(e[0]) for e in examples)
+    tables = 60 * (1 << quality.BITS)
+    before, own = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(own)
+    tracemalloc.start()
+    try:
+        model = quality.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1] + own.max_memory()
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(before)
+        docs.unpersist()
+    assert packed > 2 * tables and peak < 1.2 * packed + tables
+    expected = quality.follow_the_leader([(places, (n / n.sum()).astype(np.float32).astype(np.float64), label) for places, n, label in examples])
+    assert model.bias == expected.bias and (model.weights == expected.weights).all()
+
+
 def features_in_plain_python(lexicon, text):
     """Every entry and phrase looked for at every place."""
     plain = toxicity.folded(text)

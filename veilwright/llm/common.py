@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.lru_cache(1)
+def _trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Processes live on between tasks: memory that arrays have left goes back to the system, where its library can do that."""
+    _trim()(0)
+
+
 #: Bytes of rows that go to a Python worker at once, where rows are packed arrays.
 ARROW_BYTES = 4 << 20
 #: Bytes of a row group of tables that cut() writes, rows that a task unpacks at once and shuffled bytes that it gets, about,
@@ -87,10 +100,18 @@ def cut(df: DataFrame, name: str = "cut", by: tuple[str, ...] = (), arrow_bytes:
     limit |= {"spark__sql__parquet__columnarReaderBatchSize": str(READ_ROWS), "spark__sql__adaptive__advisoryPartitionSizeInBytes": f"{PARTITION_BYTES}b"}
     with settings(df.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", **limit):
         # row groups are held whole by the tasks that write and read them
-        df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).partitionBy(*by).parquet(path)
+        # nobody waits for the marker of success, and without Hadoop's own library each file on a local disk costs two processes
+        options = {"parquet.block.size": str(ROW_GROUP_BYTES), "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+        df.write.options(**options).partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shrink_heap(spark: SparkSession) -> None:
+    """Let the driver's heap go back to what is in use. Plans of many short jobs leave little but garbage, for which it would
+    rather grow to its limit."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_table(df: DataFrame, folder: str = "") -> None:
     """Delete the files of a table that cut() wrote, or of those of its folders that are named so, once nothing will read them again."""
     spark = df.sparkSession

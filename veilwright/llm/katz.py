@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import drop_table, fold_bucket
+from .common import drop_table, fold_bucket, give_back
 from .minhash import mixed
 
 #: Words of the longest n-grams.
@@ -47,18 +47,6 @@ _UNSEEN, _START, _FIRST = 0, 1, 2
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.lru_cache(1)
-def _trim():
-    import ctypes
-
-    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
-
-
-def give_back() -> None:
-    """Workers live on between tasks: memory that arrays have left goes back to the system, where its library can do that."""
-    _trim()(0)
-
-
 @functools.lru_cache(1)
 def _zstd():
     import zstandard

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ARROW_BYTES, components, cut, drop_table, words_of
+from .common import ARROW_BYTES, components, cut, drop_table, shrink_heap, words_of
 
 #: Values of the short and of the long sketch. The long one holds the whole set of most documents, so bounds on pairs are exact.
 SKETCH, LONG_SKETCH = 64, 16384
@@ -216,6 +216,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     ties = ties.select("y", "ny", "ly", F.col("h.id").alias("x"), F.col("h.n").alias("nx"), F.col("h.least").alias("lx")).where("x <> y")
     ties = ties.where(100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")).select(*ordered).distinct()
     links = cut(_similar(ties, reps, sets, percent, k).select("a", "b"), "links")
+    shrink_heap(docs.sparkSession)
     # what lists hold outside the component of most of their members; their first one may be far from all others
     of = cut(components(links, listed.select("id")), "components")
     placed = cut(lists.join(of, "id").join(heads.select("v"), "v").select("v", *columns, "strong", "reach", "component_id"), "placed")
@@ -236,6 +237,7 @@ def near_duplicate_links(docs: DataFrame, reps: DataFrame, width: int, percent:
     more = cut(_similar(met[0].unionByName(met[1]).unionByName(met[2]).distinct(), reps, sets, percent, k).select("a", "b"), "links")
     for done in (likely, sets, listed, heads, placed, of):
         drop_table(done)
+    shrink_heap(docs.sparkSession)
     return links.unionByName(more)
 
 

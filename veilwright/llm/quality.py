@@ -8,7 +8,7 @@ the dot product of the weights with the shares of its n-grams. Weights come from
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, fresh_name
+from .common import fold_bucket, fresh_name, give_back
 from .minhash import mixed
 
 BITS = 18
@@ -70,8 +70,8 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def follow_the_leader(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> Model:
-    """examples: (places without repeats, shares, label). Per-coordinate proximal updates; the bias is a feature that all have."""
+def follow_the_leader(examples: Iterable[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> Model:
+    """examples, gone through in each epoch: (places without repeats, shares, label). Per-coordinate proximal updates; the bias is a feature that all have."""
     n = 1 << bits
     z, s = np.zeros(n + 1), np.zeros(n + 1)
 
@@ -115,9 +115,27 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.binary()), pa.array(shares, pa.binary())], names=["doc_id", "label", "places", "shares"])
 
     sample = labelled_sample(docs, labels, label, limit).select("doc_id", "text", "label")
-    rows = sample.mapInArrow(count, "doc_id long, label int, places binary, shares binary").collect()  # limit rows
-    rows.sort(key=lambda r: (r.doc_id * 0x9E3779B1 & 0xFFFFFFFF, r.doc_id))
-    return follow_the_leader([(np.frombuffer(r.places, np.int32), np.frombuffer(r.shares, np.float32).astype(np.float64), r.label) for r in rows])
+    rows = sample.mapInArrow(count, "doc_id long, label int, places binary, shares binary").toArrow()  # limit rows
+    model = follow_the_leader(_Examples(rows))
+    del rows
+    pa.default_memory_pool().release_unused()
+    give_back()
+    return model
+
+
+class _Examples:
+    """Rows (doc_id, label, places, shares) of an Arrow table as examples, in an order that doc_id fixes. They stay packed:
+    only the one at hand is unpacked, each time that it is asked for."""
+
+    def __init__(self, rows: pa.Table):
+        ids = rows.column("doc_id").to_pylist()
+        self.order = sorted(range(len(ids)), key=lambda i: (ids[i] * 0x9E3779B1 & 0xFFFFFFFF, ids[i]))
+        self.label, self.places, self.shares = (rows.column(c) for c in ("label", "places", "shares"))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for i in self.order:
+            places, shares = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in ((self.places, np.int32), (self.shares, np.float32)))
+            yield places, shares.astype(np.float64), self.label[i].as_py()
 
 
 def rated(docs: DataFrame, make) -> tuple[DataFrame, str]:
